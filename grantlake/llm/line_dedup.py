@@ -38,24 +38,24 @@ def lines(text: Column) -> Column:
     return F.filter(flat, lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
-    """(host, lines): the lines on at least `ratio` of the host's pages, if it has least_pages.
+def boilerplate(pages: DataFrame, ratio: float, least_pages: int, least_repeats: int) -> DataFrame:
+    """(host, lines): the lines on at least `ratio` of the host's pages, if it has least_pages and least_repeats of them hold the line.
 
     pages: host and lines. A line counts once a page. Only hashes of lines are shuffled, counted
     before and after; a host's list is no longer than its mean page over ratio, whatever its size.
     """
     totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least_pages)
     counts = pages.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy("host", "line").count()
-    counts = counts.where(F.col("count") >= max(1, least_pages * ratio))
+    counts = counts.where(F.col("count") >= max(least_repeats, least_pages * ratio))
     often = counts.join(totals, "host").where(F.col("count") >= F.col("pages") * ratio)
     return often.groupBy("host").agg(F.sort_array(F.collect_set("line")).alias("boiler"), F.max("pages").alias("host_pages"))
 
 
-def drop_boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html: str | None = "html", text: str | None = None, ratio: float = 0.3, least_pages: int = 5) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", html: str | None = "html", text: str | None = None, ratio: float = 0.1, least_pages: int = 10, least_repeats: int = 3) -> DataFrame:
     """A row a page: page_id, host, n_lines, n_dropped, text (the lines that stay).
 
-    A line is dropped if at least `ratio` of its host's pages hold it and the host has least_pages pages
-    or more. Pages come as html, or as text with lines already parted. Pages without a host (null or
+    A line is dropped if at least `ratio` of its host's pages, and least_repeats of them, hold it and the
+    host has least_pages pages or more. Pages come as html, or as text with lines already parted. Pages without a host (null or
     odd URLs) count as one site named ""; a null page has no lines and counts as a page; a line that
     repeats within a page counts once and is dropped or kept in all places; repeated rows are pages of
     their own. Hot hosts: counts are added up by (host, line) before the shuffle, and the join back to
@@ -63,7 +63,7 @@ def drop_boilerplate(pages: DataFrame, key: str = "page_id", url: str = "url", h
     """
     body = page_text(pages[html]) if text is None else pages[text]
     at = pages.select(pages[key].alias("page_id"), host(pages[url]).alias("host"), lines(body).alias("lines"))
-    out = at.join(boilerplate(at, ratio, least_pages), "host", "left")
+    out = at.join(boilerplate(at, ratio, least_pages, least_repeats), "host", "left")
     gone = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), F.coalesce("boiler", F.array().cast("array<bigint>")))
     kept = let(gone, lambda b: F.filter("lines", lambda x: ~F.array_contains(b, F.xxhash64(x))))
     out = out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), "lines", kept.alias("kept"))

@@ -61,23 +61,42 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule votes 1 (good) if `good` holds, else -1 (bad) if `bad` holds, else abstains (0). trust: how often a vote is right, to begin with."""
+    """A rule votes -1 (bad) if `bad` holds, else 1 (good) if `good` holds, else abstains (0).
+
+    slip: how often good documents are voted bad, to begin with; hint: how often a document is voted good if it is bad, next to 0.9 if it is good.
+    """
 
     name: str
-    good: str
     bad: str
-    trust: float = 0.8
+    good: str = "false"
+    slip: float = 0.005
+    hint: float = 0.4
+
+    def start(self) -> tuple[dict[int, float], dict[int, float]]:
+        """Likelihoods of votes given bad and good."""
+        says = self.good != "false"
+        bad = {-1: 0.3 if self.bad != "false" else 0.001, 1: self.hint if says else 0.001}
+        good = {-1: self.slip if self.bad != "false" else 0.001, 1: 0.9 if says else 0.001}
+        return tuple({**x, 0: 1 - sum(x.values())} for x in (bad, good))
 
 
+#: Rules that say only what is bad, and one that says what is good: votes for good from rules that look at the same plain prose would not be independent.
 RULES = (
-    Rule("length", "n_words >= 80", "n_words < 50"),
-    Rule("symbols", "100 * n_symbols <= 2 * n_words", "100 * n_symbols > 15 * n_words"),
-    Rule("repetition", "100 * n_repeat_words <= 20 * n_words", "100 * n_repeat_words > 40 * n_words"),
-    Rule("lines", "n_dup_lines = 0", "100 * n_dup_lines > 20 * n_lines", 0.7),
-    Rule("shouting", "100 * n_upper <= 15 * n_letters", "100 * n_upper > 40 * n_letters"),
-    Rule("exclamations", "100 * n_shouts <= n_words", "100 * n_shouts > 15 * n_words"),
-    Rule("word_length", "word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words", 0.7),
-    Rule("sentences", "100 * n_stops between 3 * n_words and 30 * n_words", "100 * n_stops < n_words or 100 * n_stops > 60 * n_words", 0.7),
+    Rule("length", "n_words < 50", slip=0.02),
+    Rule("symbols", "100 * n_symbols > 15 * n_words"),
+    Rule("repetition", "100 * n_repeat_words > 30 * n_words", slip=0.01),
+    Rule("lines", "100 * n_dup_lines > 30 * n_lines", slip=0.02),
+    Rule("shouting", "100 * n_upper > 40 * n_letters"),
+    Rule("exclamations", "100 * n_shouts > 15 * n_words"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", slip=0.01),
+    Rule("sentences", "100 * n_stops < n_words or 100 * n_stops > 60 * n_words", slip=0.02),
+    Rule(
+        "prose",
+        "false",
+        "n_words >= 30 and 100 * n_symbols <= 10 * n_words and 100 * n_repeat_words <= 30 * n_words and 100 * n_shouts <= 10 * n_words and 100 * n_upper <= 40 * n_letters"
+        " and word_chars between 3 * n_words and 12 * n_words and 100 * n_stops between 2 * n_words and 50 * n_words",
+        hint=0.05,
+    ),
 )
 
 
@@ -90,18 +109,19 @@ class LabelModel:
     accuracies: list[float]
 
     @classmethod
-    def fit(cls, patterns: dict[tuple[int, ...], int], rules=RULES, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
+    def fit(cls, patterns: dict[tuple[int, ...], int], rules=RULES, rounds: int = 100, hold: float = 0.05) -> LabelModel:
         """Expectation-maximisation over counts of vote patterns.
 
         Votes are independent given the class; abstaining may depend on it too. There are at most
-        3^rules patterns, however many documents they count.
+        3^rules patterns, however many documents they count. The starting likelihoods weigh as `hold` of
+        all documents, which keeps the classes from changing places or meaning.
         """
-        total, n = sum(patterns.values()), len(rules)
-        prior = 0.7
-        like = [[{-1: r.trust * 0.5, 0: 0.5, 1: (1 - r.trust) * 0.5}, {-1: (1 - r.trust) * 0.5, 0: 0.5, 1: r.trust * 0.5}] for r in rules]
+        total = sum(patterns.values())
+        prior, smooth = 0.7, max(1.0, hold * total)
+        like = [r.start() for r in rules]
         for _ in range(rounds if total else 0):
-            counts = [[{-1: smooth, 0: smooth, 1: smooth} for _ in range(2)] for _ in range(n)]
-            goods = smooth
+            counts = [[{v: smooth * p for v, p in one.items()} for one in r.start()] for r in rules]
+            goods = 0.7 * smooth
             for votes, many in sorted(patterns.items()):
                 logit = math.log(prior / (1 - prior)) + sum(math.log(like[i][1][v] / like[i][0][v]) for i, v in enumerate(votes))
                 p = 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
@@ -109,7 +129,7 @@ class LabelModel:
                 for i, v in enumerate(votes):
                     counts[i][1][v] += p * many
                     counts[i][0][v] += (1 - p) * many
-            new = goods / (total + 2 * smooth)
+            new = goods / (total + smooth)
             like = [[{v: c / sum(one.values()) for v, c in one.items()} for one in rule] for rule in counts]
             still, prior = abs(new - prior) < 1e-9, new
             if still:
@@ -126,7 +146,7 @@ class LabelModel:
 
 
 def vote(rule: Rule) -> Column:
-    return F.when(F.expr(rule.good), 1).when(F.expr(rule.bad), -1).otherwise(0)
+    return F.when(F.expr(rule.bad), -1).when(F.expr(rule.good), 1).otherwise(0)
 
 
 def fit_rules(feats: DataFrame, rules=RULES) -> LabelModel:
