@@ -71,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over documents."""
     import corpus_pipeline
 
-    return corpus_pipeline.run(spark, sf_dir).drop("text")
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 OPERATORS = (op1_line_dedup, op2_simhash, op3_substring, op4_mixing, op5_quality, op6_license_scan, op7_sharding, op8_token_files, op9_decontamination, op10_toxicity)
