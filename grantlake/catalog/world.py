@@ -141,8 +141,8 @@ def edges_sql(duckdb: bool) -> str:
     return text.format(**{t: t for t in TABLES})
 
 
-#: Where the stores of this process are: (application, folder) -> path.
-STORES: dict[tuple[str, str], str] = {}
+#: Where the stores of this process are: (application, folder) -> path, relations with caveats.
+STORES: dict[tuple[str, str], tuple[str, set]] = {}
 
 
 class World:
@@ -165,8 +165,9 @@ class World:
         if key not in STORES:
             path = f"{scratch_root(self.spark)}/store-{uuid.uuid4().hex}"
             TupleStore(self.tuples).save(path)
-            STORES[key] = path
-        return TupleStore.load(self.spark, STORES[key])
+            STORES[key] = (path, TupleStore.load(self.spark, path).caveated())
+        path, caveated = STORES[key]
+        return TupleStore(TupleStore.load(self.spark, path).df, caveated)
 
     @cached_property
     def universe(self) -> Universe:

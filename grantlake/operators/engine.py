@@ -67,7 +67,7 @@ class Engine:
     def caveated(self) -> set[tuple[str, str]]:
         """The (type, relation) whose tuples have caveats: known from one scan, as many rows as the schema has relations."""
         if self._caveated is None:
-            self._caveated = {tuple(r) for r in self.store.df.where("caveat_name <> ''").select("resource_type", "relation").distinct().collect()} if self.schema.caveats else set()
+            self._caveated = self.store.caveated() if self.schema.caveats else set()
         return self._caveated
 
     def evaluate(self, subjects: DataFrame, context: Mapping | None = None, targets: Mapping[str, DataFrame] | None = None, literals: list[SubjectRef] | None = None) -> Evaluation:
@@ -252,7 +252,7 @@ class Evaluation:
 
     def nothing(self) -> DataFrame:
         extra = [F.array().cast("array<string>").alias("m")] if self.algebra.conditional else []
-        return self.subjects.select("skey", F.lit("").alias("rid"), F.lit(0).cast("tinyint").alias("v"), *extra).where(F.lit(False))
+        return self.subjects.select("skey", F.lit(None).cast("string").alias("rid"), F.lit(0).cast("tinyint").alias("v"), *extra).where(F.lit(False))
 
     # -- edges
 

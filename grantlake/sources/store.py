@@ -41,8 +41,9 @@ def matches(**fields: str) -> Column:
 class TupleStore:
     """An immutable view of the latest tuples. Writes return a new store and the batch's version token."""
 
-    def __init__(self, df: DataFrame):
-        self.df = df.select(*COLUMNS)
+    def __init__(self, df: DataFrame, caveated: set[tuple[str, str]] | None = None):
+        """caveated: the (type, relation) whose tuples have caveats, if known."""
+        self.df, self._caveated = df.select(*COLUMNS), caveated
 
     @classmethod
     def empty(cls, spark: SparkSession) -> TupleStore:
@@ -70,9 +71,15 @@ class TupleStore:
     def wire(self) -> DataFrame:
         return self.df.select(*KEY)
 
+    def caveated(self) -> set[tuple[str, str]]:
+        """The (type, relation) whose tuples have caveats: one scan, as many rows as the schema has relations."""
+        if self._caveated is None:
+            self._caveated = {tuple(r) for r in self.df.where("caveat_name <> ''").select("resource_type", "relation").distinct().collect()}
+        return self._caveated
+
     def as_of(self, version: int) -> TupleStore:
         """Tuples whose last write is at most version (an upper bound; overwritten values are not brought back)."""
-        return TupleStore(self.df.where(F.col("version") <= version))
+        return TupleStore(self.df.where(F.col("version") <= version), self._caveated)
 
     def high_watermark(self) -> int:
         return self.df.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
