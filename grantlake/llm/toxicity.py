@@ -139,8 +139,11 @@ class Machine:
         got = np.zeros(len(flat))
         for at in range(0, len(flat), 4096):
             some = flat[at : at + 4096]
-            sums = sum((w * np.where(v, self.table[c], 0).sum(axis=1) for c, v, w in subsequences(some)), np.zeros(len(some)))
-            got[at : at + 4096] = sums / np.sqrt(np.maximum(norms(some), 1e-9))
+            sums, squares = np.zeros(len(some)), np.zeros(len(some))
+            for c, v, w in subsequences(some):
+                sums += w * (self.table[c] * v).sum(axis=1)
+                squares += w * w * v.sum(axis=1)
+            got[at : at + 4096] = sums / np.sqrt(np.maximum(squares, 1e-9))
         ends = np.cumsum([len(p) for p in cut])
         return np.maximum.reduceat(got, ends - [len(p) for p in cut]) + self.bias if len(flat) else got
 
@@ -236,23 +239,40 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return learn([(r[1], r[2].split()) for r in got], counts.get(1, 0) / max(1, sum(counts.values())))
 
 
+class Scorer:
+    """Scores of texts in a task. Words are scored once and remembered, new ones of many texts at a time."""
+
+    def __init__(self, machine: Machine):
+        self.machine, self.known = machine, {}
+
+    def __call__(self, texts: pa.Array, step: int = 512, most: int = 1 << 22) -> np.ndarray:
+        out, held, size = [], [], 0
+        for t in texts:
+            text = t.as_py() or ""
+            held.append(tokens(text))
+            size += len(text)
+            if len(held) >= step or size >= most:
+                out.append(self.some(held))
+                held, size = [], 0
+        return np.concatenate([*out, self.some(held)])
+
+    def some(self, held: list[set[str]]) -> np.ndarray:
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        known, new = self.known, sorted(set().union(*held) - self.known.keys())
+        new.sort(key=len)  # words of like length together, so little is padded
+        known.update(zip(new, self.machine.words(new).tolist(), strict=True))
+        return self.machine.score([Machine.inputs(list(map(known.__getitem__, x))) for x in held])
+
+
 def score_documents(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row; only the text decides the score. A null or empty text scores as one without words."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        scorer = Scorer(sent.value)
         for b in batches:
-            rows = []
-            for t in b.column(1):
-                found = tokens(t.as_py() or "")
-                if new := [w for w in found if w not in known]:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                        new = list(found)
-                    known.update(zip(new, sent.value.words(new).tolist(), strict=True))
-                rows.append(Machine.inputs([known[w] for w in found]))
-            scores = sent.value.score(rows)
+            scores = scorer(b.column(1))
             held = [zlib.crc32(str(k).encode()) % 5 == 0 if k is not None else False for k in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -265,17 +285,8 @@ def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", most: floa
     sent, place = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, float] = {}
+        scorer = Scorer(sent.value)
         for b in batches:
-            rows = []
-            for t in b.column(place):
-                found = tokens(t.as_py() or "")
-                if new := [w for w in found if w not in known]:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                        new = list(found)
-                    known.update(zip(new, sent.value.words(new).tolist(), strict=True))
-                rows.append(Machine.inputs([known[w] for w in found]))
-            yield b.filter(pa.array(sent.value.score(rows) < most))
+            yield b.filter(pa.array(scorer(b.column(place)) < most))
 
     return docs.mapInArrow(keep, docs.schema)
