@@ -13,6 +13,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from .common import scratch_root
 SKIPPABLE, FOOTER, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: A data frame is closed at this many bytes of ids (a longer document is a frame alone).
 FRAME_BYTES = 1 << 18
-#: Words whose ids a worker remembers, and bytes beyond which a word is not remembered: 100 MB or so a worker at most.
-CACHE_WORDS, CACHE_BYTES = 300_000, 64
+#: Words whose ids a worker remembers, and bytes beyond which a word is not remembered: 120 MB or so a worker at most.
+CACHE_WORDS, CACHE_BYTES = 500_000, 64
+#: Texts, or bytes of text, that are encoded at a time.
+STEP_TEXTS, STEP_BYTES = 512, 1 << 22
 #: Stands for a null key in the files.
 NO_KEY = -(1 << 63)
 
@@ -39,7 +42,8 @@ class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary's normaliser and splitter never join what ASCII white space parts, so a text's ids are
-    those of its words in a row; frequent words are encoded once.
+    those of its words in a row; words are encoded once, new ones of many texts at a time, and remembered
+    from task to task.
     """
 
     def __init__(self, path: str):
@@ -47,22 +51,39 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def ids(self, text: bytes) -> bytes:
-        words, known = text.split(), self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            made = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True)}
-            if len(known) + len(made) > CACHE_WORDS:
-                known.clear()
-            if len(made) > CACHE_WORDS or any(len(w) > CACHE_BYTES for w in made):
-                own = {w: made.get(w) or known.get(w) or self.one(w) for w in set(words)}
-                return b"".join(map(own.__getitem__, words))
-            known.update(made)
-            if any(w not in known for w in words):
-                return b"".join([known.get(w) or self.one(w) for w in words])
-        return b"".join(map(known.__getitem__, words))
-
-    def one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def __call__(self, texts: pa.Array) -> Iterator[bytes]:
+        held, size = [], 0
+        for t in texts:
+            held.append(t.as_buffer().to_pybytes().split())
+            size += t.as_buffer().size
+            if len(held) >= STEP_TEXTS or size >= STEP_BYTES:
+                yield from self.some(held)
+                held, size = [], 0
+        yield from self.some(held)
+
+    def some(self, held: list[list[bytes]]) -> list[bytes]:
+        every = set().union(*held)
+        new = list(every - self.known.keys())
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, list(every)
+        made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+        known = self.known
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, made, strict=True))
+        out = [b"".join(map(known.__getitem__, words)) for words in held]
+        for w in new:
+            if len(w) > CACHE_BYTES:
+                del known[w]
+        return out
+
+
+#: The encoders of this worker process, by path.
+ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = Encoder(path)
+    return ENCODERS[path]
 
 
 class Writer:
@@ -157,14 +178,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
         name, own = f"{path}/part-{part:06d}.tok", f"{path}/_{part:06d}-{uuid.uuid4().hex}"
-        encoder, docs, ids = Encoder(tokenizer), 0, 0
+        docs = ids = 0
         with fs.open_output_stream(own) as out:
             writer = Writer(out)
             for b in batches:
-                for k, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    made = encoder.ids(t.as_buffer().to_pybytes()) + tail
-                    writer.add(NO_KEY if k is None else k, made)
-                    docs, ids = docs + 1, ids + len(made) // 4
+                for k, made in zip(b.column(0).to_pylist(), encoder(tokenizer)(b.column(1)), strict=True):
+                    writer.add(NO_KEY if k is None else k, made + tail)
+                    docs, ids = docs + 1, ids + len(made) // 4 + 1
             writer.close()
         fs.move(own, name)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [docs], "ids": [ids]})
