@@ -132,6 +132,9 @@ class Machine:
     bias: float
     curve: np.ndarray
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
     def words(self, words: list[str]) -> np.ndarray:
         """The decision for each word (the highest of its pieces)."""
         cut = [pieces(w) for w in words]
@@ -243,7 +246,8 @@ class Scorer:
     """Scores of texts in a task. Words are scored once and remembered, new ones of many texts at a time."""
 
     def __init__(self, machine: Machine):
-        self.machine, self.known = machine, {}
+        self.machine = machine
+        self.known = machine.__dict__.setdefault("known", {})  # the worker's copy lives on from task to task
 
     def __call__(self, texts: pa.Array, step: int = 512, most: int = 1 << 22) -> np.ndarray:
         out, held, size = [], [], 0
@@ -258,7 +262,7 @@ class Scorer:
 
     def some(self, held: list[set[str]]) -> np.ndarray:
         if len(self.known) > CACHE_WORDS:
-            self.known = {}
+            self.known.clear()
         known, new = self.known, sorted(set().union(*held) - self.known.keys())
         new.sort(key=len)  # words of like length together, so little is padded
         known.update(zip(new, self.machine.words(new).tolist(), strict=True))
