@@ -425,13 +425,14 @@ class Evaluation:
                 whole = self.better(v.whole, [x.whole for x in found[at]], ["skey"], at, n)
                 if rows is not None or whole is not None:
                     delta[at] = Verdicts(rows, whole)
-                    found[at].append(delta[at])
             if not delta:
                 break
             if n > self.engine.config.max_hops:
                 if self.engine.config.on_exceed == "raise":
                     raise DepthExceeded(f"{', '.join(f'{t}#{x}' for t, x in scc)}: more than {self.engine.config.max_hops} hops")
                 break
+            for at, v in delta.items():
+                found[at].append(v)
             env = {**self.memo, **{at: self.total(found[at]) for at in scc}}
             fresh = {at: self.rule(at, env, delta) for at in scc}
         for at in scc:
