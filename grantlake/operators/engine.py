@@ -32,6 +32,14 @@ def subject_key(kind: Column, ident: Column, relation: Column) -> Column:
     return F.concat(kind, F.lit(":"), ident, F.lit("#"), relation)
 
 
+def subject_columns() -> list[Column]:
+    """The subject columns back from a key: types have no colon and relations no hash sign."""
+    key = F.col("skey")
+    kind, relation = F.substring_index(key, ":", 1), F.substring_index(key, "#", -1)
+    ident = F.substr(key, F.length(kind) + 2, F.length(key) - F.length(kind) - F.length(relation) - 2)
+    return [c.alias(n) for c, n in zip((kind, ident, relation), SUBJECT, strict=True)]
+
+
 class Engine:
     """A compiled schema over a tuple store and a universe. Engines are immutable: a changed schema or store is another engine.
 
@@ -83,8 +91,7 @@ class Engine:
             subjects = self.subjects(literals)
         ev = self.evaluate(subjects, context, literals=literals)
         rows = ev.rows(kind, action, spread=True)
-        out = rows.where(F.col("v") >= (1 if conditional else 2)).join(ev.subjects, "skey")
-        return out.select(*SUBJECT, F.col("rid").alias("resource_id"))
+        return rows.where(F.col("v") >= (1 if conditional else 2)).select(*subject_columns(), F.col("rid").alias("resource_id"))
 
     def bulk_check(self, requests: DataFrame, context: Mapping | None = None) -> DataFrame:
         """requests with verdict, allowed, result, conditional_on and reason appended.
@@ -174,7 +181,7 @@ class Engine:
         rows = ev.algebra.stack(v.rows, ev.algebra.spread(v.whole, ids) if v.whole is not None else None)
         if rows is None:
             return ev.subjects.select(F.lit("").alias("resource_id"), *SUBJECT).where(F.lit(False))
-        return rows.where("v = 2").join(ids, "rid", "left_semi").join(ev.subjects, "skey").select(F.col("rid").alias("resource_id"), *SUBJECT).distinct()
+        return rows.where("v = 2").join(ids, "rid", "left_semi").select(F.col("rid").alias("resource_id"), *subject_columns()).distinct()
 
     def check_new(self, proposals: DataFrame, edges: DataFrame, context: Mapping | None = None) -> DataFrame:
         """proposals (id, subject..., action, resource_type) with verdict and the rest: may the subject make a row that carries these edges?
