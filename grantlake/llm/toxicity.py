@@ -9,14 +9,14 @@ table of weights.
 Learning is by multiple instances: a toxic document has a toxic sentence, and that a toxic word, while the
 sentences of a clean one are all clean. Words that toxic documents hold far oftener than clean ones are witnesses; each
 round adds the likeliest witness of every toxic document and the hardest words of clean ones and fits the machine anew. A document's score is a logistic function of its
-highest, second and fourth highest words.
+two highest words, kept between -1.5 and 1.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -30,7 +30,9 @@ GAPS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN), 2)]
 #: A longer word is scored piece by piece, pieces overlapping by half.
 PIECE = 48
 #: Documents of each label that the machine is fitted on, at most; landmarks; words that a worker remembers.
-SAMPLE, LANDMARKS, CACHE_WORDS = 3000, 320, 400_000
+SAMPLE, LANDMARKS, CACHE_WORDS = 2000, 320, 400_000
+#: How much the pieces of a witness must speak for it, at least.
+WITNESS = 0.7
 
 
 def letters(word: str) -> str:
@@ -95,20 +97,24 @@ def norms(words: list[str]) -> np.ndarray:
     return sum((v.sum(axis=1) * w * w for _, v, w in subsequences(words)), np.zeros(len(words)))
 
 
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 25) -> tuple[np.ndarray, float]:
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 5e-2, rounds: int = 25) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps over the points inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1), dtype=x.dtype)]).astype(np.float64)
-    w, total = np.zeros(x.shape[1]), weight.sum()
-    held = ridge * np.eye(x.shape[1])
-    held[-1, -1] = 1e-9
-    last = None
+    n = x.shape[1]
+    w, bias, total, last = np.zeros(n), 0.0, weight.sum(), None
+    held = np.diag([*[ridge / len(x) ** 0.5] * n, 1e-9])
     for _ in range(rounds):
-        inside = y * (x @ w) < 1
-        if last is not None and (inside == last).all():
+        inside = np.nonzero(y * (x @ w + bias) < 1)[0]
+        if last is not None and np.array_equal(inside, last):
             break
-        xi, ci, last = x[inside], weight[inside] / total, inside
-        w = np.linalg.solve(xi.T @ (xi * ci[:, None]) + held / len(x) ** 0.5, xi.T @ (ci * y[inside]))
-    return w[:-1], float(w[-1])
+        last, gram, right = inside, held.copy(), np.zeros(n + 1)
+        for at in range(0, len(inside), 2048):  # bounded memory
+            i = inside[at : at + 2048]
+            xi, ci = np.hstack([x[i].astype(np.float64), np.ones((len(i), 1))]), weight[i] / total
+            gram += xi.T @ (xi * ci[:, None])
+            right += xi.T @ (ci * y[i])
+        solved = np.linalg.solve(gram, right)
+        w, bias = solved[:-1], float(solved[-1])
+    return w, bias
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -137,6 +143,9 @@ class Machine:
 
     def words(self, words: list[str]) -> np.ndarray:
         """The decision for each word (the highest of its pieces)."""
+        return np.concatenate([np.zeros(0), *[self._some(words[i : i + 8192]) for i in range(0, len(words), 8192)]])
+
+    def _some(self, words: list[str]) -> np.ndarray:
         cut = [pieces(w) for w in words]
         flat = [p for ps in cut for p in ps]
         got = np.zeros(len(flat))
@@ -151,33 +160,60 @@ class Machine:
         return np.maximum.reduceat(got, ends - [len(p) for p in cut]) + self.bias if len(flat) else got
 
     @staticmethod
-    def inputs(scores: list[float]) -> tuple[float, float, float]:
-        top = [-3.0] * 4 + sorted(scores)[-4:]
-        return max(top[-1], -3.0), max(top[-2], -3.0), max(top[-4], -3.0)
+    def inputs(scores: list[float]) -> tuple[float, float]:
+        top = [-3.0] * 2 + sorted(scores)[-2:]
+        return tuple(min(max(x, -1.5), 1.0) for x in (top[-1], top[-2]))
 
-    def score(self, rows: list[tuple[float, float, float]]) -> np.ndarray:
-        x = np.array(rows, dtype=np.float64).reshape(-1, 3)
+    def score(self, rows: list[tuple[float, float]]) -> np.ndarray:
+        x = np.array(rows, dtype=np.float64).reshape(-1, 2)
         return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
 
-def learn(bags: list[tuple[int, list[str]]], share: float, rounds: int = 3, seed: int = 7) -> Machine:
+def three_letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the words' pieces of three letters in a row, and which are real."""
+    return next(subsequences(words), (np.zeros((len(words), 1), np.int64), np.zeros((len(words), 1), bool), 0.0))[:2]
+
+
+def evidence(vocabulary: list[str], bags: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """For each word, the mean over its three-letter pieces of how much oftener toxic documents hold the piece (a smoothed log ratio)."""
+    count = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for b, y in zip(bags, toxic, strict=True):
+        if len(b):
+            c, v = three_letter_codes([pieces(vocabulary[i])[0] for i in b])
+            count[int(y), np.unique(c[v])] += 1
+    ratio = np.log((count[1] + 2) / (toxic.sum() + 4)) - np.log((count[0] + 2) / ((~toxic).sum() + 4))
+    out = np.full(len(vocabulary), -1.0)
+    for at in range(0, len(vocabulary), 4096):
+        c, v = three_letter_codes([pieces(w)[0] for w in vocabulary[at : at + 4096]])
+        n = v.sum(axis=1)
+        out[at : at + 4096] = np.where(n > 0, (ratio[c] * v).sum(axis=1) / np.maximum(n, 1), -1.0)
+    return out
+
+
+def learn(bags: Iterable[tuple[int, list[str]]], share: float, rounds: int = 3, seed: int = 7) -> Machine:
     """The machine for bags of words (label, words); share: how often label 1 is in the rows that the bags were drawn from.
 
     Without bags of both labels every document scores the share of label 1.
     """
-    toxic = [b for y, b in bags if y]
-    clean = [b for y, b in bags if not y]
-    if not toxic or not clean:
+    place: dict[str, int] = {}
+    label, at_words = [], []
+    for y, words in bags:
+        label.append(bool(y))
+        at_words.append(np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int32))
+    toxic = np.array(label, dtype=bool)
+    if toxic.all() or not toxic.any():
         p = min(max(share, 1e-3), 1 - 1e-3)
-        return Machine(np.zeros(1 << BITS, dtype=np.float32), -1.0, np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))]))
+        return Machine(np.zeros(1 << BITS, dtype=np.float32), -1.0, np.array([0.0, 0.0, np.log(p / (1 - p))]))
     rng = np.random.default_rng(seed)
-    bad, good = Counter(w for b in toxic for w in b), Counter(w for b in clean for w in b)
-    vocabulary = sorted(bad.keys() | good.keys())
-    place = {w: i for i, w in enumerate(vocabulary)}
-    dt, dc = (np.array([c[w] for w in vocabulary], dtype=np.float64) for c in (bad, good))
-    expected = (dt + dc) * len(toxic) / (len(toxic) + len(clean))
+    vocabulary, n_toxic = list(place), int(toxic.sum())
+    del place
+    dt, dc = (sum((np.bincount(b, minlength=len(vocabulary)) for b, y in zip(at_words, toxic, strict=True) if y == side), np.zeros(len(vocabulary))) for side in (True, False))
+    expected = (dt + dc) * n_toxic / len(toxic)
     surplus = np.where(dt + dc >= 3, (dt - expected) / np.sqrt(expected + 0.5), -1.0)
-    order = np.argsort(-surplus, kind="stable")
+    toxic_at = [b for b, y in zip(at_words, toxic, strict=True) if y and len(b)]
+    clean_at = [b for b, y in zip(at_words, toxic, strict=True) if not y and len(b)]
+    first = evidence(vocabulary, at_words, toxic)
+    order = np.argsort(-np.where(dt >= 2, first * np.log1p(dt), -1.0), kind="stable")
     usual = np.nonzero(dc >= 2)[0]
     usual = rng.permutation(usual if len(usual) else np.nonzero(dc)[0])[: LANDMARKS // 3]
     marks = [x for x in dict.fromkeys(pieces(vocabulary[i])[0] for i in [*order[: LANDMARKS - len(usual)], *usual]) if x]
@@ -185,37 +221,37 @@ def learn(bags: list[tuple[int, list[str]]], share: float, rounds: int = 3, seed
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
     kept = values > 1e-4 * values.max()
     project = vectors[:, kept] / np.sqrt(values[kept])  # Nystrom: K(w, landmarks) @ project
-    toxic_at = [np.array([place[w] for w in b]) for b in toxic if b]
-    clean_at = [np.array([place[w] for w in b]) for b in clean if b]
-    score, common = surplus / max(1e-9, surplus.max()), rng.permutation(np.nonzero(dc)[0])[:12_000]
+    score, common = first, rng.permutation(np.nonzero(dc)[0])[:12_000]
     strong = (surplus > 3.5) & (dt > 4 * dc)
     machine = None
     for n in range(rounds):
+        # a word is a witness if its pieces of three letters speak for it, and once there is a machine, if that accepts it
         witness = Counter(int(b[np.argmax(score[b])]) for b in toxic_at)
-        # a word that toxic documents do not hold oftener than clean ones is no witness, nor is one that the machine rejects
-        witness = Counter({w: c for w, c in witness.items() if surplus[w] > 1.0 or n and score[w] > 0 and dc[w] <= dt[w]})
+        witness = Counter({w: c for w, c in witness.items() if first[w] > WITNESS and dt[w] >= 3 and dc[w] <= dt[w] / 10 and (not n or score[w] > 0)})
         witness.update({int(w): int(dt[w]) for w in np.nonzero(strong)[0]})
         hard = np.nonzero(dc)[0]
-        hard = hard[np.argsort(-score[hard], kind="stable")[:6000]]
+        hard = hard[np.argsort(-score[hard], kind="stable")[:12000]]
         negative = np.unique(np.concatenate([common, hard]))
         negative = negative[~strong[negative]]
         at = np.concatenate([np.array(sorted(witness), dtype=np.int64), negative])
         y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
         weight = np.concatenate([np.array([witness[w] for w in sorted(witness)], dtype=np.float64), np.minimum(dc[negative], 50)])
-        weight[y > 0] *= 0.5 * weight[y < 0].sum() / max(1e-9, weight[y > 0].sum())
-        x = kernel([pieces(vocabulary[i])[0] for i in at], marks) @ project
+        weight[y > 0] *= 0.1 * weight[y < 0].sum() / max(1e-9, weight[y > 0].sum())
+        x = kernel([pieces(vocabulary[i])[0] for i in at], marks) @ project.astype(np.float32)
         w, bias = squared_hinge(x, y, weight)
         alpha = project @ w
         table, norm = np.zeros(1 << BITS), np.sqrt(np.maximum(norms(marks), 1e-9))
         for c, v, each in subsequences(marks):
             for i in range(len(marks)):
                 np.add.at(table, c[i][v[i]], each * alpha[i] / norm[i])
-        machine = Machine(table.astype(np.float32), bias, np.zeros(4))
+        machine = Machine(table.astype(np.float32), bias, np.zeros(3))
         score = machine.words(vocabulary)
     x = np.array([machine.inputs(score[b].tolist() if len(b) else []) for b in [*toxic_at, *clean_at]])
     y = np.array([1.0] * len(toxic_at) + [0.0] * len(clean_at))
     weight = np.where(y > 0, share / max(1, len(toxic_at)), (1 - share) / max(1, len(clean_at))) * len(y)
     machine.curve = logistic(x, y, weight)
+    if machine.curve[1] < 0:  # a second toxic word never speaks for a text
+        machine.curve = np.insert(logistic(x[:, :1], y, weight), 1, 0.0)
     return machine
 
 
@@ -235,11 +271,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted(w for w in tokens(t) if letters(w))) for t in b.column(2).to_pylist()], pa.string())], names=["key", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted({letters(w) for w in tokens(t)} - {""})) for t in b.column(2).to_pylist()], pa.string())], names=["key", "toxic", "words"])
 
     got = joined.mapInArrow(bag, f"key {slim.schema['_key'].dataType.simpleString()}, toxic int, words string").collect()
     got.sort(key=lambda r: (str(r[0]), r[2]))
-    return learn([(r[1], r[2].split()) for r in got], counts.get(1, 0) / max(1, sum(counts.values())))
+    return learn(((r[1], r[2].split()) for r in got), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 class Scorer:
