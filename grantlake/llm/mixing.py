@@ -102,7 +102,7 @@ def mix_sources(
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if not c.startswith("_")]
-    kept = docs.select(*[docs[c] for c in names], n_words(docs[text]).alias("_size"), F.md5(F.concat_ws(":", F.coalesce(docs[key].cast("string"), F.lit("null")), F.lit(seed))).alias("_hash"))
+    kept = docs.select(*[docs[c] for c in names], n_words(docs[text]).alias("_size"), F.md5(F.concat_ws(":", F.coalesce(docs[key].cast("string"), F.lit("null")), F.lit(seed))).alias("_hash"), F.xxhash64(docs[text]).alias("_tie"))
     found = sorted(((r[0], int(r[1])) for r in docs.groupBy(docs[source]).agg(F.sum(n_words(docs[text]))).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     sizes, given = [n for _, n in found], [float(weights[i % len(weights)]) for i in range(len(found))]
     wanted = targets(sizes, given, budget * sum(sizes), most)
@@ -116,7 +116,7 @@ def mix_sources(
     rows = spark.createDataFrame([(s.index, s.name, s.size, s.target, s.taken) for s in sources], f"_source int, _name {docs.schema[source].dataType.simpleString()}, _source_size long, _target double, _taken long")
     rows = F.broadcast(rows) if len(sources) <= BROADCAST_SOURCES else rows
     kept = kept.join(rows, kept[source].eqNullSafe(rows["_name"])).drop("_name").withColumn("_bucket", F.substring("_hash", 1, 3))
-    placed = running_sum(kept, ["_source"], "_bucket", [F.col("_hash"), F.col("_size"), F.col(text)], F.col("_size"), "_start").drop("_bucket", "_hash")
+    placed = running_sum(kept, ["_source"], "_bucket", [F.col("_hash"), F.col("_size"), F.col("_tie")], F.col("_size"), "_start").drop("_bucket", "_hash", "_tie")
 
     epochs = placed.where("_size > 0").select("_source", "_start", "_size", "_source_size", "_taken", F.explode(F.sequence(F.lit(0), F.lit(int(np.ceil(most)) - 1))).alias("epoch"))
     epochs = epochs.select("_source", "_start", "epoch", (F.col("epoch") * F.col("_source_size") + F.col("_start")).alias("_from"), F.least(F.col("epoch") * F.col("_source_size") + F.col("_start") + F.col("_size"), F.col("_taken")).alias("_to")).where("_from < _to")
