@@ -34,6 +34,8 @@ FRAME_BYTES = 1 << 18
 CACHE_WORDS, CACHE_BYTES = 500_000, 64
 #: Texts, or bytes of text, that are encoded at a time.
 STEP_TEXTS, STEP_BYTES = 512, 1 << 22
+#: ASCII marks, the apostrophe aside, which has rules of its own.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Stands for a null key in the files.
 NO_KEY = -(1 << 63)
 
@@ -42,8 +44,8 @@ class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
     The vocabulary's normaliser and splitter never join what ASCII white space parts, so a text's ids are
-    those of its words in a row; words are encoded once, new ones of many texts at a time, and remembered
-    from task to task.
+    those of its words in a row, and it parts letters from the marks after them. Words are encoded once, new
+    ones of many texts at a time, and remembered from task to task.
     """
 
     def __init__(self, path: str):
@@ -54,8 +56,10 @@ class Encoder:
     def __call__(self, texts: pa.Array) -> Iterator[bytes]:
         held, size = [], 0
         for t in texts:
-            held.append(t.as_buffer().to_pybytes().split())
-            size += t.as_buffer().size
+            text = t.as_buffer().to_pybytes()
+            size += len(text)
+            # the vocabulary lower-cases anyway; special tokens must not come about by it, nor other accents
+            held.append((text.lower() if text.isascii() and b"<|" not in text else text).split())
             if len(held) >= STEP_TEXTS or size >= STEP_BYTES:
                 yield from self.some(held)
                 held, size = [], 0
@@ -66,13 +70,22 @@ class Encoder:
         new = list(every - self.known.keys())
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known, new = {}, list(every)
-        made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        known = self.known
-        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, made, strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in held]
+        known, ended, need = self.known, [], set()
         for w in new:
+            core = w.rstrip(MARKS)
+            if core and len(core) < len(w) and core.decode().isalpha():
+                ended.append((w, core, w[len(core) :]))
+                need.update(ended[-1][1:])
+            else:
+                need.add(w)
+        need = list(need - known.keys())
+        made = self.tokenizer.encode_batch_fast([w.decode() for w in need], add_special_tokens=False)
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(need, made, strict=True))
+        known.update((w, known[core] + known[marks]) for w, core, marks in ended)
+        out = [b"".join(map(known.__getitem__, words)) for words in held]
+        for w in (*new, *need):
             if len(w) > CACHE_BYTES:
-                del known[w]
+                known.pop(w, None)
         return out
 
 
@@ -89,7 +102,7 @@ def encoder(path: str) -> Encoder:
 class Writer:
     """Writes one file to a stream."""
 
-    def __init__(self, out, level: int = 3):
+    def __init__(self, out, level: int = 1):
         self.out, self.zstd = out, zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.frames, self.keys, self.sizes, self.buffer = [], [], [], bytearray()
 
