@@ -163,6 +163,41 @@ def test_passages_of_odd_tables(docs, empty):
     assert got <= {r[0] for r in docs.select("doc_id").collect()}
 
 
+def zipf(rng, n):
+    return rng.choices([f"z{i}" for i in range(5000)], [1 / (i + 1) for i in range(5000)], k=n)
+
+
+def test_two_passages_of_a_pair_of_documents(spark):
+    rng = random.Random(8)
+    one, two = zipf(rng, 100), zipf(rng, 100)
+    rows, spans = [], {}
+    for pair, gap in enumerate((100, 400)):
+        for i in range(2):
+            head = zipf(rng, 30)
+            rows.append((10 * pair + i, " ".join(f"{w}p{pair}" for w in [*head, *one, *zipf(rng, gap), *two, *zipf(rng, 30)])))
+            spans[10 * pair + i] = {(30, 130), (130 + gap, 230 + gap)}
+    got = substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for pair in range(2):
+        some = [r for r in got if r.doc_id // 10 == pair]
+        assert len(some) == 2 and len({r.doc_id for r in some}) == 1
+        for r, (lo, hi) in zip(sorted(some, key=lambda r: r.first_word), sorted(spans[some[0].doc_id]), strict=True):
+            assert abs(r.first_word - lo) <= 8 and abs(r.last_word + 1 - hi) <= 8 and r.identity >= 0.8
+
+
+def test_alignment_is_longest_and_cut_where_it_does_not_agree(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(substring, "BLOCK", 7)
+    for _ in range(60):
+        x, y = ([rng.randrange(6) for _ in range(rng.randrange(0, 50))] for _ in range(2))
+        got = substring.matched(x, y)
+        assert len(got) == substring.common(x, y) and all(x[i] == y[j] for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+    new = iter(range(1000, 9000))
+    p, q = [next(new) for _ in range(60)], [next(new) for _ in range(60)]
+    b, a = ([*p, *(next(new) for _ in range(70)), *q] for _ in range(2))
+    assert substring.pieces(np.array(b), np.array(a), 25, 0.8) == [(0, 60, 1.0), (130, 190, 1.0)]
+
+
 def test_chains_and_alignment():
     rng = random.Random(2)
     for _ in range(30):
