@@ -184,6 +184,20 @@ def test_two_passages_of_a_pair_of_documents(spark):
             assert abs(r.first_word - lo) <= 8 and abs(r.last_word + 1 - hi) <= 8 and r.identity >= 0.8
 
 
+def test_passage_of_which_another_document_holds_a_part(spark):
+    rng = random.Random(6)
+    unique = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for n, (size, part) in enumerate([(60, 40), (60, 49), (70, 49), (55, 30), (50, 49)] * 8):
+        shared = unique(size)
+        rows += [(10 * n, " ".join([*unique(30), *shared[:part], *unique(30)]))] + [(10 * n + i, " ".join([*unique(20 * i), *shared, *unique(30)])) for i in (1, 2)]
+        want |= {10 * n + i: (20 * i, 20 * i + size - 1) for i in (1, 2)}
+    got = substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for n in range(40):
+        some = [r for r in got if r.doc_id // 10 == n and (r.first_word, r.last_word) == want.get(r.doc_id)]
+        assert some and {some[0].doc_id, *some[0].source_ids} >= {10 * n + 1, 10 * n + 2}
+
+
 def test_alignment_is_longest_and_cut_where_it_does_not_agree(monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(substring, "BLOCK", 7)
