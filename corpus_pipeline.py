@@ -19,15 +19,17 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, one row: that of the least id, or of no id if none has one.
+    """Of each group of rows whose texts are near-duplicates, one row: that of the least id, or of no id if none has one.
 
-    A row names its group by component_id. Rows that repeat the least id (copies or not) are reduced to
-    one of them; groups of rows without any id are one group.
+    Rows are told apart by id, text and the other columns, so a group keeps its row whatever ids others
+    repeat or lack. Among rows of the least id, hashes of text and columns decide; equal rows are one.
     """
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id")).distinct()
-    kept = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(keep, "_id", "left_semi")
-    return kept.dropDuplicates(["_id"]).select(*docs.columns)
+    scratch = Scratch(spark)
+    row = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(*docs.columns)))
+    fps = scratch.save(simhash.fingerprints(docs.select(F.struct("doc_id", row.alias("row")).alias("key"), "text"), "key"), "rows")
+    found = fps.join(simhash.groups(fps.select("key.doc_id", "fp").withColumnRenamed("doc_id", "key"), scratch), "fp")
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("key.doc_id").isNull(), "key.doc_id", "key.row")).alias("least")).select(F.col("least.row").alias("_row"))
+    return docs.withColumn("_row", row).join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

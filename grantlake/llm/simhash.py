@@ -96,6 +96,16 @@ def links(classes: DataFrame, scratch: Scratch, within: int) -> DataFrame:
 NO_ID = (1 << 63) - 1
 
 
+def groups(fps: DataFrame, scratch: Scratch, within: int = 4) -> DataFrame:
+    """(fp, component_id, copies, root) for every fingerprint of fps (key, fp): root, a fingerprint, names its component also where ids do not."""
+    classes = scratch.save(fps.groupBy("fp").agg(F.coalesce(F.min("key"), F.lit(NO_ID)).cast("long").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
+    comps = components(links(classes, scratch, within), scratch)
+    named = classes.join(comps.select(F.col("node.fp").alias("fp"), "root"), "fp", "left")
+    named = scratch.save(named.select("fp", F.nullif(F.coalesce("root.least", "least"), F.lit(NO_ID)).alias("component_id"), "copies", F.coalesce("root.fp", "fp").alias("root")), "named")
+    scratch.drop("routed")
+    return named
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, within: int = 4, fps: DataFrame | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id, copies: rows of the same fingerprint) for every row of docs.
 
@@ -110,10 +120,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.save(fingerprints(docs, key, text, n), "fps") if fps is None else fps
-    classes = scratch.save(fps.groupBy("fp").agg(F.coalesce(F.min("key"), F.lit(NO_ID)).cast("long").alias("least"), F.count(F.lit(1)).alias("copies")), "classes")
-    comps = components(links(classes, scratch, within), scratch)
-    named = classes.join(comps.select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root")), "fp", "left")
-    named = scratch.save(named.select("fp", F.nullif(F.coalesce("root", "least"), F.lit(NO_ID)).alias("component_id"), "copies"), "named")
-    scratch.drop("routed")
-    out = fps.join(named, "fp")
+    out = fps.join(groups(fps, scratch, within), "fp")
     return out.select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")

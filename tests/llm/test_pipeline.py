@@ -39,6 +39,16 @@ def test_pipeline(spark, tmp_path):
     assert sharding.shard_records(mixed).count() == mixed.count()
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark, tmp_path):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    docs = [(None, text(i % 20), "en", "s", 1) for i in range(25)] + [(3, text(100), "en", "s", 1), (5, text(101), "en", "s", 1), (5, text(100), "en", "s", 1), (7, text(102), "en", "s", 1), (7, text(103), "en", "s", 1), (None, text(103), "en", "s", 1)]
+    folder = write(spark, tmp_path, docs)
+    at = spark.read.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.without_near_duplicates(spark, at, folder)
+    want = [(None, text(i)) for i in range(20)] + [(3, text(100)), (5, text(101)), (7, text(102)), (7, text(103))]
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in want) and got.columns == at.columns
+
+
 def test_empty_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, [])).count() == 0
 
