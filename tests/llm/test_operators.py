@@ -198,6 +198,18 @@ def test_passage_of_which_another_document_holds_a_part(spark):
         assert some and {some[0].doc_id, *some[0].source_ids} >= {10 * n + 1, 10 * n + 2}
 
 
+@pytest.mark.parametrize("every", [5, 6, 10])
+def test_passages_with_many_edits(spark, every):
+    rng = random.Random(every)
+    rows = []
+    for n in range(20):
+        shared = zipf(rng, 100)
+        edited = [f"edit{rng.randrange(10**9)}" if i % every == every - 1 else w for i, w in enumerate(shared)]
+        rows += [(2 * n + i, " ".join(f"{w}n{n}" for w in [*zipf(rng, 60), *body, *zipf(rng, 60)])) for i, body in enumerate((shared, edited))]
+    got = substring.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id // 2 for r in got} == set(range(20)) and all(r.identity >= 0.8 for r in got)
+
+
 def test_alignment_is_longest_and_cut_where_it_does_not_agree(monkeypatch):
     rng = random.Random(4)
     monkeypatch.setattr(substring, "BLOCK", 7)
