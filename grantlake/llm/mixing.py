@@ -127,22 +127,25 @@ def mix_sources(
 
 
 def mix_report(docs: DataFrame, **how) -> DataFrame:
-    """A row a document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """A row a document: doc_id, source, size, source_size, target, taken (words the mix takes, repeats counted), first_slot (of the schedule; null if not taken)."""
     mix = mix_sources(docs, **how)
     key, source = how.get("key", "doc_id"), how.get("source", "source")
-    taken = mix.pieces.groupBy("_source", "_start").agg(F.sum("words").alias("_words")).withColumn("_some", F.lit(1))
+    taken = mix.pieces.groupBy("_source", "_start").agg(F.sum("words").alias("_words"), F.min("slot").alias("first_slot")).withColumn("_some", F.lit(1))
     slim = mix.docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), "_source", "_start", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.when(F.col("_size") > 0, 1).alias("_some"))
     out = slim.join(taken, ["_source", "_start", "_some"], "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_words", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_words", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each epoch in which a document is taken. A document taken in part, at a source's end, is cut to its first words."""
+def mixed_documents(docs: DataFrame, slot: str | None = None, **how) -> DataFrame:
+    """The mix itself, in the columns of docs: a row for each epoch in which a document is taken. A document taken in part, at a source's end, is cut to its first words.
+
+    slot names one more column, the first slot of the row in the schedule; in its order, sources come by their shares.
+    """
     mix = mix_sources(docs, **how)
     text = how.get("text", "text")
-    taken = mix.pieces.groupBy("_source", "_start", "epoch").agg(F.sum("words").alias("_words"))
+    taken = mix.pieces.groupBy("_source", "_start", "epoch").agg(F.sum("words").alias("_words"), F.min("slot").alias("_slot"))
     out = mix.docs.where("_size > 0").join(taken, ["_source", "_start"])
     cut = F.when(F.col("_words") < F.col("_size"), F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), 0), 1, F.col("_words").cast("int")), " ")).otherwise(F.col(text))
     out = out.withColumn("_cut", cut)
     names = [c for c in docs.columns if not c.startswith("_")]
-    return out.select(*[(F.col("_cut") if c == text else F.length("_cut").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c)).alias(c) for c in names])
+    return out.select(*[(F.col("_cut") if c == text else F.length("_cut").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(c)).alias(c) for c in names], *([F.col("_slot").alias(slot)] if slot else []))

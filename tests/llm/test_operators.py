@@ -279,6 +279,20 @@ def test_mix_follows_the_schedule(docs, messy):
     assert words == sum(taken.values())
 
 
+def test_mixed_rows_in_the_order_of_their_slots(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 64), "abc"[i % 3]) for i in range(300)]
+    at = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(mixing.mixed_documents(at, slot="slot").collect(), key=lambda r: r.slot)
+    total = Counter(r.source for r in got)
+    for n in (len(got) // 4, len(got) // 2):
+        some = Counter(r.source for r in got[:n])
+        assert all(abs(some[s] - total[s] * n / len(got)) <= 12 for s in "abc")
+    first = {r.doc_id: r.first_slot for r in mixing.mix_report(at).collect()}
+    assert all(first[i] == min((r.slot for r in got if r.doc_id == i), default=None) for i in first)
+    assert mixing.mixed_documents(at).columns == at.columns
+
+
 def test_mix_of_nothing(spark, empty):
     assert mixing.mix_report(empty).count() == 0
     assert mixing.mixed_documents(empty).count() == 0
