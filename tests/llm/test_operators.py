@@ -429,6 +429,58 @@ def test_token_files_round_trip(spark, docs, messy, empty, tokenizer):
     assert token_files.read_token_files(spark, *token_files.write_token_files(empty, tokenizer)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_encoder_agrees_with_whole_texts(name, messy):
+    """Settings that keep words apart get the short way, others none; ids are those of the library either way."""
+    import pyarrow as pa
+
+    path = pytest.importorskip("public_tokenizers").path(name)
+    encoder = token_files.Encoder(path)
+    assert encoder.by_word == (name == "word_bpe_49k.json")
+    odd = ["", "  x ", "A\u0301, b<\u0338c", "H\u0331 h\u0331", "~ ~~ a~b", "<|StartOfText|> hi<|endoftext|>x", "don't we'll 'S it's,'tis", "\u0130I \u0131K\u212a \u03a3\u0391\u03a3, \u03a3.", "a.b,c;;d--e_f 12ab3,4", "x\u00a0y\u2028z\x85q", "w" * 500 + " " + "w" * 500]
+    texts = [r[1] or "" for r in messy] + odd
+    if name.endswith(".json"):
+        from tokenizers import Tokenizer
+
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    else:
+        import sentencepiece
+
+        want = sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    assert [x.tolist() for x in encoder(pa.array(texts))] == want
+    assert [x.tolist() for x in encoder(pa.array(["pad", *texts]).slice(1))] == want
+
+
+def test_encoder_forgets_and_checks_settings(monkeypatch, tokenizer):
+    import json
+
+    import pyarrow as pa
+
+    for name, value in (("CACHE_WORDS", 3), ("STEP_BYTES", 40), ("CALL_WORDS", 2), ("CACHE_LENGTH", 6)):
+        monkeypatch.setattr(token_files, name, value)
+    texts = [f"some words{i} and morewords{i % 3}, again and again" for i in range(30)]
+    encoder = token_files.Encoder(tokenizer)
+    assert [x.tolist() for x in encoder(pa.array(texts))] == encoder.encode_all(texts)
+    spec = json.loads(open(tokenizer, encoding="utf-8").read())
+    assert token_files.parts_words(spec)
+    for change in ({"normalizer": None}, {"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}, {"padding": {}} | {"truncation": {"max_length": 8}}):
+        assert not token_files.parts_words(spec | change)
+
+
+def test_token_files_by_key(spark, docs, messy, tokenizer):
+    folder, files = token_files.write_token_files(docs, tokenizer, files=4)
+    every = token_files.read_token_files(spark, folder, files).collect()
+    for keys in ([7, 3, 999], [None], [None, 3, -5], []):
+        got = token_files.read_token_files(spark, folder, files, keys).collect()
+        assert Counter(map(str, got)) == Counter(str(r) for r in every if r.doc_id in keys)
+    least = spark.createDataFrame([(-(1 << 63), "a"), (None, "b"), (None, None)], "doc_id long, text string")
+    folder, files = token_files.write_token_files(least, tokenizer, files=1)
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_files.read_token_files(spark, folder, files).collect()) == [("-9223372036854775808", 2), ("None", 1), ("None", 2)]
+    assert token_files.read_token_files(spark, folder, files, [-(1 << 63)]).count() == 1
+    with pytest.raises(ValueError, match="integer"):
+        token_files.write_token_files(docs, tokenizer, key="key")
+
+
 def test_reader_decompresses_one_frame_and_sees_damage(monkeypatch):
     monkeypatch.setattr(token_files, "FRAME_BYTES", 64)
     out = BytesIO()
