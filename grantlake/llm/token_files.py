@@ -34,8 +34,8 @@ from .common import scratch_root
 SKIPPABLE, FOOTER, CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 #: A data frame is closed at this many bytes of ids (a longer document is a frame alone).
 FRAME_BYTES = 1 << 18
-#: Bytes of input that a file aims at, where that makes more files than spark.sql.shuffle.partitions.
-FILE_BYTES = 1 << 28
+#: Bytes of input that a file aims at, where that makes more files than spark.sql.shuffle.partitions, but at most so many.
+FILE_BYTES, MOST_FILES = 1 << 28, 100_000
 #: Words and ids that a worker remembers (120 MB or so), and characters beyond which a word is not remembered.
 CACHE_WORDS, CACHE_IDS, CACHE_LENGTH = 500_000, 4_000_000, 64
 #: Bytes of text that are encoded at a time, and words in one call of the tokenizer.
@@ -279,7 +279,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
         raise ValueError(f"{key} must be an integer column, not {docs.schema[key].dataType.simpleString()}")
     folder = folder or f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
     slim = docs.select(docs[key].cast("long").alias("key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // FILE_BYTES))
+    n = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(input_bytes(docs) // FILE_BYTES, MOST_FILES))
     slim = slim.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     slim = slim.repartitionByRange(n, "key", "tie", "row").sortWithinPartitions("key", "tie").select("key", "text")
     tail = np.array([end], dtype="<u4").tobytes()
@@ -315,8 +315,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str | None = None
 
 
 def input_bytes(docs: DataFrame) -> int:
-    """Bytes of the files that docs is read from, as the planner knows them."""
-    return int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Bytes of docs as the planner estimates them from its files' sizes; 0 where it cannot."""
+    found = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return 0 if found >= 1 << 60 else found
 
 
 def read_token_files(spark: SparkSession, folder: str, files: DataFrame, keys: Sequence[int | None] | None = None) -> DataFrame:
