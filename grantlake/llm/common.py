@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_root
+
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax alike).
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,16 +39,29 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; in local mode, where every thread shares one disk, a folder of our own if none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='grantlake-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+def packed(docs: DataFrame) -> Column:
+    """The row of docs as one struct, whose fields no name beside it can clash with."""
+    return F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fields(docs: DataFrame, row: str = "row", but: Iterable[str] = ()) -> list[Column]:
+    """The columns of docs back from the struct, without those that have a name of `but`, in whatever case."""
+    gone = {c.lower() for c in but}
+    return [F.col(row)[c].alias(c) for c in docs.columns if c.lower() not in gone]
+
+
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, with underscores appended where a column has one already, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 class Scratch:
@@ -68,15 +83,17 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str, sums: DataFrame | None = None) -> DataFrame:
     """df with out: the sum of value over the rows of the same keys that come before, in order.
 
+    sums: those of value by keys and bucket as _sum, if they are known already.
+
     bucket must rise with the order and split every key into even parts (say, the first digits of a
     hash that leads the order). No task then holds a key: sums by (key, bucket) are added up first, a
     few rows a key, and rows are summed within (key, bucket). Rows that tie in order may change places.
     """
     cols = df.columns
-    part = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum"))
+    part = df.groupBy(*keys, bucket).agg(F.sum(value).alias("_sum")) if sums is None else sums
     before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     inner = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -27,8 +27,8 @@ def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a document: how many of its words the mix takes."""
-    return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """A row a document: how many of its words the schedule takes, and from which slot on."""
+    return mixing.mix_report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

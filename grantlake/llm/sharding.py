@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_sum
+from .common import fields, packed, quoted, running_sum
 
 #: Hex digits of an MD5 that make a uniform number, and where the first and second of a digest start.
 DIGITS, STARTS = 13, (1, 17)
@@ -35,22 +35,22 @@ def shard_records(docs: DataFrame, key: str = "doc_id", text: str = "text", weig
     UTF-8 bytes plus 8.
 
     Null keys share one shard; a null text counts as empty (size 8, CRC 0). Rows that repeat a key
-    share its shard and get slots of their own. A column of docs with the name of a new one gives way.
+    share its shard and get slots of their own. An empty table gives an empty one. A column of docs with the
+    name of a new one, in whatever case, gives way; others may have any name.
     """
     n = len(weights)
     if not n or min(weights) <= 0 or grown_weight <= 0:
         raise ValueError("weights must be positive")
-    k, body = docs[key], F.coalesce(docs[text], F.lit(""))
+    k, body = docs[quoted(key)], F.coalesce(docs[quoted(text)].cast("string"), F.lit(""))
     new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
-    kept = [docs[c] for c in docs.columns if c not in new]
     at = docs.select(
-        *kept,
+        packed(docs).alias("row"),
         (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.lit("key").alias("law"),
-        scores(k, [*weights, grown_weight]).alias("_scores"),
-        F.md5(F.coalesce(k.cast("string"), F.lit("null"))).alias("_hash"),
+        scores(k, [*weights, grown_weight]).alias("scores"),
+        F.md5(F.coalesce(k.cast("string"), F.lit("null"))).alias("hash"),
     )
-    at = at.select("*", F.array_max(F.slice("_scores", 1, n))["shard"].alias("shard"), F.array_max("_scores")["shard"].alias("grown_shard"), F.substring("_hash", 1, 3).alias("_bucket")).drop("_scores")
-    at = running_sum(at, ["shard"], "_bucket", [F.col("_hash"), F.col("text_crc32"), F.col("size")], F.lit(1), "slot")
-    return at.select(*[c.alias(n) for c, n in ((at[c], c) for c in at.columns) if n not in (*new, "_hash", "_bucket")], *new)
+    at = at.select("*", F.array_max(F.slice("scores", 1, n))["shard"].alias("shard"), F.array_max("scores")["shard"].alias("grown_shard"), F.substring("hash", 1, 3).alias("bucket")).drop("scores")
+    at = running_sum(at, ["shard"], "bucket", [F.col("hash"), F.col("text_crc32"), F.col("size")], F.lit(1), "slot")
+    return at.select(*fields(docs, but=new), *new)

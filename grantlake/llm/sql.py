@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import LOWER, SPACE, UPPER, WORD
 from .license_scan import SHINGLE, TEMPLATES
 from .line_dedup import BLOCKS, REFERENCES, SILENT
+from .mixing import BLOCK, SLOTS
 
 NORMAL_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,9 +39,13 @@ o AS (SELECT *, row_number() OVER (ORDER BY 2.0::DOUBLE * n / w, i) AS k FROM s)
 l AS (SELECT *, (1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS level FROM o),
 f AS (SELECT min(k) AS k FROM l WHERE 2.0::DOUBLE * n > level * w),
 g AS (SELECT l.source, CAST(n AS BIGINT) AS n, CASE WHEN l.k >= f.k THEN (SELECT x.level FROM l AS x, f AS y WHERE x.k = y.k) * w ELSE 2.0::DOUBLE * n END AS target FROM l, f),
-q AS (SELECT *, least(CAST(floor(target + 0.5) AS BIGINT), 2 * n) AS quota FROM g),
-e AS (SELECT d.*, q.n, q.target, q.quota, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, n AS source_size, target, CAST(least(size, greatest(0, quota - start)) + least(size, greatest(0, quota - n - start)) AS BIGINT) AS taken FROM e"""
+p AS (SELECT total, block, CAST(floor(total / block + 0.5) AS BIGINT) AS slots FROM (SELECT total, CAST(greatest(1, least({BLOCK}, ceil(total / {SLOTS}))) AS BIGINT) AS block FROM (SELECT 1.5::DOUBLE * sum(n) AS total FROM g))),
+b AS (SELECT *, length(bin(slots - 1)) AS bits FROM p),
+r AS (SELECT source, n, target, lag(z, 1, 0) OVER (ORDER BY source NULLS LAST) AS a, z FROM (SELECT g.*, CAST(ceil(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / total * pow(2, bits) - 0.000001) AS BIGINT) AS z FROM g, b)),
+x AS (SELECT slot, CAST(list_sum(list_transform(range(bits), lambda k: ((slot >> k) & 1) << (bits - 1 - k))) AS BIGINT) AS point FROM (SELECT unnest(range(slots)) AS slot, bits FROM b)),
+y AS (SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM x JOIN r ON x.point >= r.a AND x.point < r.z),
+e AS (SELECT d.*, r.n, r.target, least((SELECT count(*) FROM y WHERE y.source IS NOT DISTINCT FROM r.source) * block, 2 * r.n) AS quota, block, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, size, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, b)
+SELECT doc_id, size, e.n AS source_size, target, CAST(least(size, greatest(0, quota - start)) + least(size, greatest(0, quota - e.n - start)) AS BIGINT) AS taken, CASE WHEN size > 0 AND start < quota THEN y.slot END AS first_slot FROM e LEFT JOIN y ON e.source IS NOT DISTINCT FROM y.source AND e.start // block = y.rank"""
 
 LICENSES = f"""WITH tpl AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(TEMPLATES))}) AS v(i, license, text)),
 tw AS (SELECT i, license, {normal("text")} AS w FROM tpl),

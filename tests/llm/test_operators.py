@@ -254,7 +254,7 @@ def test_chains_and_alignment():
 
 
 def test_mix_follows_the_schedule(docs, messy):
-    got = mixing.mix_report(docs, least_block=7).collect()
+    got = mixing.mix_report(docs, block=7).collect()
     sizes = Counter()
     for r in messy:
         sizes[r[3]] += len(split(r[1]))
@@ -269,14 +269,34 @@ def test_mix_follows_the_schedule(docs, messy):
         if not over:
             break
         capped |= over
+    blocks = scheduled([(s, share[s]) for s in names], total, 7)
     taken = Counter()
     for r in got:
         assert math.isclose(r.target, share[r.source]) and r.source_size == sizes[r.source] and r.taken <= 2 * r.size
+        assert (r.first_slot is None) == (r.taken == 0)
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - share[s]) <= 0.5 for s in names)
-    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_report(docs.repartition(3), least_block=7).collect()))
-    words = sum(len(split(r.text)) for r in mixing.mixed_documents(docs, least_block=7).collect())
+    assert {s: taken[s] for s in names} == {s: min(7 * blocks[s], 2 * sizes[s]) for s in names}
+    assert all(abs(taken[s] - share[s]) <= 7 * 5 for s in names)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.mix_report(docs.repartition(3), block=7).collect()))
+    words = sum(len(split(r.text)) for r in mixing.mixed_documents(docs, block=7).collect())
     assert words == sum(taken.values())
+    # another schedule takes other words
+    ordered = mixing.mix_report(docs, block=7, point=lambda slot, bits: slot).collect()
+    assert Counter((r.doc_id, r.taken) for r in ordered) != Counter((r.doc_id, r.taken) for r in got)
+
+
+def scheduled(shares, total, block):
+    """How many of the first slots each source gets, by the radical inverse in plain Python."""
+    slots = int(total / block + 0.5)
+    bits, out = max(1, (slots - 1).bit_length()), Counter()
+    for i in range(slots):
+        x, at = int(f"{i:0{bits}b}"[::-1], 2) / 2**bits * total, 0.0
+        for s, share in shares:
+            at += share
+            if x < at - 1e-9:
+                out[s] += 1
+                break
+    return out
 
 
 def test_mixed_rows_in_the_order_of_their_slots(spark):
@@ -285,7 +305,7 @@ def test_mixed_rows_in_the_order_of_their_slots(spark):
     at = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted(mixing.mixed_documents(at, slot="slot").collect(), key=lambda r: r.slot)
     total = Counter(r.source for r in got)
-    for n in (len(got) // 4, len(got) // 2):
+    for n in (len(got) // 4, len(got) // 2):  # rows, not slots, are counted
         some = Counter(r.source for r in got[:n])
         assert all(abs(some[s] - total[s] * n / len(got)) <= 12 for s in "abc")
     first = {r.doc_id: r.first_slot for r in mixing.mix_report(at).collect()}
@@ -299,12 +319,15 @@ def test_mix_of_nothing(spark, empty):
     assert [r.taken for r in mixing.mix_report(spark.createDataFrame([(1, None, "s"), (2, "", "s")], "doc_id long, text string, source string")).collect()] == [0, 0]
 
 
-def test_schedule_is_even(docs):
-    mix = mixing.mix_sources(docs, least_block=5)
-    rows = mix.schedule.orderBy("slot").collect()
-    assert Counter(r[1] for r in rows) == {s.index: s.blocks for s in mix.sources if s.blocks}
-    half = Counter(r[1] for r in rows[: len(rows) // 2])
-    assert all(abs(half[s.index] - s.blocks / 2) <= 3 for s in mix.sources)
+def test_schedule_is_even(spark):
+    shares = [(0, 50.0), (2, 30.0), (3, 0.0), (5, 15.0), (7, 5.0)]
+    rows = mixing.schedule(spark, shares, 100.0, 1000).orderBy("slot").collect()
+    assert [r.slot for r in rows] == list(range(1000))
+    for n in (100, 333, 500, 1000):
+        some = Counter(r.source for r in rows[:n])
+        assert all(abs(some[i] - n * t / 100) <= 5 for i, t in shares)
+    for i, _ in shares:
+        assert [r.block for r in rows if r.source == i] == list(range(sum(r.source == i for r in rows)))
 
 
 # -- quality
