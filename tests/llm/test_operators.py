@@ -198,6 +198,45 @@ def test_passage_of_which_another_document_holds_a_part(spark):
         assert some and {some[0].doc_id, *some[0].source_ids} >= {10 * n + 1, 10 * n + 2}
 
 
+def test_passages_against_all_pairs(spark):
+    """Whatever windows of 50 words two documents share, each of the two is named, and the rows found cover them; a few edits do not matter."""
+    rng = random.Random(12)
+    docs = {i: zipf(rng, rng.randrange(80, 300)) for i in range(120)}
+    fresh = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    fuzzy = []
+    for n in range(60):
+        passage = fresh(rng.randrange(50, 130))
+        third = len(passage) // 3
+        holders = rng.sample(range(120), rng.randrange(2, 5))
+        for i in holders:
+            own = list(passage)
+            if n % 3 == 2:  # 5 of 100 words are others
+                for k in rng.sample(range(len(own)), len(own) // 20):
+                    own[k] = fresh(1)[0]
+                fuzzy += [(i, own)]
+            at = rng.randrange(len(docs[i]))
+            docs[i][at:at] = own
+        if n % 3 == 1:  # each third of the passage is quoted by others
+            for i in rng.sample(sorted(set(range(120)) - set(holders)), 12):
+                part = rng.randrange(3)
+                docs[i] += [*passage[part * third : (part + 1) * third], *fresh(3)]
+    got = substring.find_passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    holders = defaultdict(list)
+    for i, ws in docs.items():
+        for at in range(len(ws) - 49):
+            holders[tuple(ws[at : at + 50])].append((i, at))
+    shared = {w: h for w, h in holders.items() if len({i for i, _ in h}) > 1}
+    spans = defaultdict(list)
+    for r in got:
+        spans[r.doc_id].append((r.first_word, r.last_word))
+    sources = {x for r in got for x in r.source_ids}
+    covered = lambda i, at: any(lo <= at and at + 49 <= hi for lo, hi in spans[i])
+    for h in shared.values():
+        assert sum(not covered(i, at) for i, at in h) <= 1 and all(covered(i, at) or i in sources for i, at in h)
+    named = [i in sources or i in spans for i, own in fuzzy if len(own) >= 60]
+    assert sum(named) >= 0.95 * len(named) and len(shared) > 500
+
+
 @pytest.mark.parametrize("every", [5, 6, 10])
 def test_passages_with_many_edits(spark, every):
     rng = random.Random(every)
