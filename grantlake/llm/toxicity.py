@@ -1,21 +1,23 @@
-"""Toxicity: a support vector machine on a gapped-subsequence string kernel with Nystrom landmarks.
-
-The kernel compares words by their subsequences of three letters with gaps: a subsequence that spans s
-letters counts DECAY^s, spans go up to SPAN, and both ends of a word count as letters. An inserted, lost
-or changed letter thus costs a few subsequences, not the match. Because each landmark is a sum of
-subsequences, so is the machine's decision, and a word is scored by looking its subsequences up in one
-table of weights.
-
-Learning is by multiple instances: a toxic document has a toxic sentence, and that a toxic word, while the
-sentences of a clean one are all clean. Words that toxic documents hold far oftener than clean ones are witnesses; each
-round adds the likeliest witness of every toxic document and the hardest words of clean ones and fits the machine anew. A document's score is a logistic function of its
-two highest words, kept between -1.5 and 1.
+"""Toxicity: a support vector machine on a gapped-subsequence string kernel with Nystrom landmarks, trained on windows of labelled documents.
+
+Texts become rows of lower-case letters with one space between words; letters that stand alone in a row are
+one word ("i d i o t") and what is no letter vanishes ("i.d.i.o.t"). The kernel compares windows of one
+and of two words in a row by their subsequences of three characters with gaps, the spaces around and between words
+included: a subsequence that spans s characters counts DECAY^s, spans go up to SPAN. An
+inserted, lost or changed letter thus costs a few subsequences, not the match. Because each landmark
+is a sum of subsequences, so is the machine's decision: every place of a text looks its subsequences up in one
+table of weights, and running sums give all windows their decisions at once.
+
+Learning is by multiple instances: a toxic document has a window that is toxic, the windows of a
+clean one are all clean. Windows whose subsequences are oftener in toxic documents are the
+first witnesses; each round adds the likeliest window of every toxic document and the hardest of
+each clean one and fits the machine anew. A document's score is a logistic function of its highest
+window and the highest that does not touch it, kept between -1.5 and 1.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -25,79 +27,151 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPAN, DECAY, BITS = 5, 0.6, 20
+from .common import quoted
+
+#: Chosen by cross-validation within the training labels, as are WITNESS, RIDGE and ROUNDS (see cross_validate).
+SPAN, DECAY, BITS = 5, 0.7, 20
 GAPS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN), 2)]
 #: A longer word is scored piece by piece, pieces overlapping by half.
 PIECE = 48
-#: Documents of each label that the machine is fitted on, at most; landmarks; words that a worker remembers.
-SAMPLE, LANDMARKS, CACHE_WORDS = 2000, 320, 400_000
-#: How much the pieces of a witness must speak for it, at least.
-WITNESS = 0.7
-
-
-def letters(word: str) -> str:
-    return word if word.isalpha() else "".join(filter(str.isalpha, word))
-
-
-def tokens(text: str) -> set[str]:
-    """The lower-case words of a whole text, and single letters in a row as one word too ("i d i o t")."""
-    words = text.lower().split()
-    found = set(words)
-    if sum(len(w) == 1 for w in found) >= 3:
-        run: list[str] = []
-        for w in [*words, ""]:
-            if len(x := letters(w)) == 1:
-                run.append(x)
-                continue
-            if len(run) >= 3:
-                found.add("".join(run))
-            run = []
-    return found
-
-
-def pieces(word: str) -> list[str]:
-    x = letters(word)
-    return [x] if len(x) <= PIECE else [x[i : i + PIECE] for i in range(0, len(x) - PIECE // 2, PIECE // 2)]
-
-
-def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each shape of gaps: the codes of the words' subsequences (a row a word), which of them are real, their weight."""
-    code = np.array([f" {w} " for w in words], dtype=f"<U{PIECE + 2}")
-    points = code.view(np.uint32).reshape(len(words), -1)
-    points = points[:, : max(1, int((points != 0).sum(axis=1).max(initial=1)))].astype(np.uint64)
-    for a, b, weight in GAPS:
-        if points.shape[1] > b:
-            x, y, z = points[:, : -b], points[:, a : points.shape[1] - b + a], points[:, b:]
-            h = (x * np.uint64(0x9E3779B97F4A7C15) + y * np.uint64(0xC2B2AE3D27D4EB4F) + z * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
-            yield (h >> np.uint64(64 - BITS)).astype(np.int64), z != 0, weight
-
-
-def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """The normalised kernel of each word with each landmark; 0 for a word without subsequences."""
-    own = [(c[i][v[i]], w) for c, v, w in subsequences(landmarks) for i in range(len(landmarks))]
-    codes = np.unique(np.concatenate([c for c, _ in own])) if own else np.zeros(0, np.int64)
-    place = np.full(1 << BITS, len(codes), dtype=np.int32)
-    place[codes] = np.arange(len(codes))
-    table = np.zeros((len(codes) + 1, len(landmarks)), dtype=np.float32)
-    for n, (c, w) in enumerate(own):
-        np.add.at(table[:, n % len(landmarks)], place[c], w)
-    norm = np.sqrt(np.maximum(norms(landmarks), 1e-9))
-    table[:-1] /= norm[None, :]
-    out = np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    for at in range(0, len(words), 512):
-        some = words[at : at + 512]
-        for c, v, w in subsequences(some):
-            at_table = np.where(v, place[c], len(codes))
-            for j in range(at_table.shape[1]):
-                out[at : at + 512] += w * table[at_table[:, j]]
-    return out / np.sqrt(np.maximum(norms(words), 1e-9))[:, None]
-
-
-def norms(words: list[str]) -> np.ndarray:
-    return sum((v.sum(axis=1) * w * w for _, v, w in subsequences(words)), np.zeros(len(words)))
-
-
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 5e-2, rounds: int = 25) -> tuple[np.ndarray, float]:
+#: Documents of each label that the machine is fitted on, and characters of them, at most: the first by a hash of key and text. Landmarks.
+SAMPLE, SAMPLE_CHARS, LANDMARKS = 2000, 16_000_000, 480
+#: Documents of the usual mix that hold ratios down; the share of clean documents whose highest window a text's first witness must exceed, and a further one; how strongly weights are held; rounds.
+HOLD, WITNESS, STRICT, RIDGE, ROUNDS = 10.0, 0.3, 0.9, 5e-2, 4
+#: What a first witness must come to in later rounds (a further one must be accepted); the weight of witnesses to that of other windows.
+FLOOR, BALANCE = -1.0, 0.5
+#: Windows of a toxic document that a round learns from, at most; of a clean one: its hardest and some at random.
+WITNESSES, HARD, PLAIN = 3, 3, 5
+#: Characters that are scored at a time.
+STEP = 1 << 19
+SPACE = 32
+
+
+class Alphabet:
+    """What the code points are: tables over all of Unicode, made once a process."""
+
+    letter: np.ndarray | None = None
+    space: np.ndarray
+
+    @classmethod
+    def tables(cls) -> tuple[np.ndarray, np.ndarray]:
+        if cls.letter is None:
+            cls.space = np.array([chr(i).isspace() for i in range(0x110000)])
+            cls.letter = np.array([chr(i).isalpha() for i in range(0x110000)])
+        return cls.letter, cls.space
+
+
+@dataclass
+class Stream:
+    """Some texts as one row of characters. start, end: each window's first character (the space before it) and the one after its last (the space behind it); word: the word it begins with, words: how many it has; bounds: each text's first window, and the end."""
+
+    points: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    word: np.ndarray
+    words: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Stream:
+        letter, space = Alphabet.tables()
+        raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+        gap = np.array([SPACE], np.uint32)
+        points = np.concatenate([gap, *[x for r in raw for x in (r, gap)]])
+        owner = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
+        owner = np.concatenate([[0], owner])
+        blank = space[points]
+        kept = blank | letter[points]
+        points, owner, blank = points[kept], owner[kept], blank[kept]
+        kept = ~blank | ~np.concatenate([[False], blank[:-1]])  # one space between words
+        points, owner, blank = points[kept], owner[kept], blank[kept]
+        points = np.where(blank, SPACE, points)
+        # letters alone in a row of three or more are one word
+        at = np.flatnonzero(blank)
+        of = owner[np.minimum(at + 1, len(points) - 1)]  # the text of the word behind each space
+        single = np.diff(at) == 2
+        same = np.concatenate([[False], single[1:] & single[:-1] & (of[1:-1] == of[:-2])]) if len(single) else single
+        run = np.cumsum(~same) if len(same) else same
+        long = single & (np.bincount(run)[run] >= 3) if len(same) else single
+        if long.any():
+            drop = at[:-1][long & same]  # the spaces within
+            kept = np.ones(len(points), dtype=bool)
+            kept[drop] = False
+            points, owner, blank = points[kept], owner[kept], blank[kept]
+            at = np.flatnonzero(blank)
+            of = owner[np.minimum(at + 1, len(points) - 1)]
+        start, end, of = at[:-1], at[1:], of[: len(at) - 1]
+        n = len(start)
+        word = np.arange(n)
+        pair = word[:-1][of[1:] == of[:-1]] if n else word
+        pair = pair[end[pair + 1] - start[pair] <= PIECE] if n else pair
+        size = end - start - 1
+        cuts = np.where(size > PIECE, -(-(size - PIECE // 2) // (PIECE // 2)), 1)
+        k = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        many = np.repeat(cuts > 1, cuts)
+        first = np.repeat(start, cuts) + np.where(many, k * (PIECE // 2), 0)
+        last = np.where(many, np.minimum(first + PIECE + 1, np.repeat(end, cuts)), np.repeat(end, cuts))
+        starts, ends = np.concatenate([first, start[pair]]), np.concatenate([last, end[np.minimum(pair + 1, max(0, n - 1))]])
+        words, count = np.concatenate([np.repeat(word, cuts), pair]), np.concatenate([np.ones(len(first), np.int8), np.full(len(pair), 2, np.int8)])
+        order = np.argsort(words, kind="stable")
+        starts, ends, words, count = starts[order], ends[order], words[order], count[order]
+        return cls(points, starts, ends, words, count, np.searchsorted(of[words], np.arange(len(texts) + 1)))
+
+    def codes(self) -> Iterator[tuple[np.ndarray, int, float]]:
+        """For each shape of gaps: the code of the subsequence that begins at each character, how far it reaches, its weight."""
+        p = self.points.astype(np.uint64)
+        for a, b, weight in GAPS:
+            m = max(0, len(p) - b)
+            h = (p[:m] * A + p[a : a + m] * B + p[b : b + m] * C) * D
+            yield (h >> np.uint64(64 - BITS)).astype(np.int32), b, weight
+
+    def sums(self, table: np.ndarray) -> np.ndarray:
+        """For each window the sum of the table over its subsequences, by weight, over the window's norm."""
+        total, square = np.zeros(len(self.start)), np.zeros(len(self.start))
+        for code, b, weight in self.codes():
+            run = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
+            last = np.maximum(self.end - b + 1, self.start)
+            total += weight * (run[np.minimum(last, len(code))] - run[np.minimum(self.start, len(code))])
+            square += weight * weight * (last - self.start)
+        return total / np.sqrt(np.maximum(square, 1e-9))
+
+    def text(self, i: int) -> str:
+        return self.points[self.start[i] : self.end[i] + 1].tobytes().decode("utf-32-le", "surrogatepass")
+
+
+A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+
+
+def profiles(windows: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(codes, values) of the normalised feature vector of each window (" idiot ", " you idiot ")."""
+    out = []
+    for w in windows:
+        p = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes, values = [np.zeros(0, np.int32)], [np.zeros(0)]
+        for code, _, weight in Stream(p, *[np.zeros(0, int)] * 5).codes():
+            codes.append(code), values.append(np.full(len(code), weight))
+        code, value = np.concatenate(codes), np.concatenate(values)
+        found, at = np.unique(code, return_inverse=True)
+        out.append((found, np.bincount(at, value, len(found)) / np.sqrt(max(1e-9, float((value**2).sum())))))
+    return out
+
+
+def kernel(windows: list[str], landmarks: list[str]) -> np.ndarray:
+    """The normalised kernel of each window with each landmark; 0 for a window without subsequences."""
+    marks = profiles(landmarks)
+    codes = np.unique(np.concatenate([c for c, _ in marks])) if marks else np.zeros(0, np.int32)
+    table = np.zeros((len(codes) + 1, len(marks)), dtype=np.float32)
+    for j, (c, v) in enumerate(marks):
+        table[np.searchsorted(codes, c), j] = v
+    out = np.zeros((len(windows), len(marks)), dtype=np.float32)
+    for i, (c, v) in enumerate(profiles(windows)):
+        at = np.minimum(np.searchsorted(codes, c), max(0, len(codes) - 1))
+        hit = codes[at] == c if len(codes) else np.zeros(len(c), dtype=bool)
+        out[i] = v[hit].astype(np.float32) @ table[at[hit]]
+    return out
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> tuple[np.ndarray, float]:
     """A linear machine with squared hinge loss, by Newton steps over the points inside the margin."""
     n = x.shape[1]
     w, bias, total, last = np.zeros(n), 0.0, weight.sum(), None
@@ -130,6 +204,48 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50)
     return w
 
 
+def segments(texts: Iterable[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(places, texts) of at most STEP characters or so. A longer text comes in several, cut at white space; a pair of words across a cut is no window."""
+    places, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while True:
+            to = len(text)
+            if to - at > STEP:
+                to = at + STEP
+                cut = max(text.rfind(" ", at, to), text.rfind("\n", at, to))
+                to = cut if cut > at else to
+            if held and size + to - at > STEP:
+                yield places, held
+                places, held, size = [], [], 0
+            places.append(i), held.append(text[at:to])
+            size, at = size + to - at, to
+            if at >= len(text):
+                break
+    if held:
+        yield places, held
+
+
+def peaks(stream: Stream, score: np.ndarray, i: int, n: int) -> list[int]:
+    """The highest window of a text, the highest that shares no word with it, and so on: n of them, or as many as there are."""
+    at, out = np.arange(stream.bounds[i], stream.bounds[i + 1]), []
+    while len(out) < n and len(at):
+        best = int(at[np.argmax(score[at])])
+        out.append(best)
+        word, last = stream.word[at], stream.word[at] + stream.words[at] - 1
+        at = at[(last < stream.word[best]) | (word > stream.word[best] + stream.words[best] - 1)]
+    return out
+
+
+def highest(stream: Stream, score: np.ndarray, i: int) -> list[float]:
+    out = [float(score[j]) for j in peaks(stream, score, i, TOP)]
+    return out + [LOWEST] * (TOP - len(out))
+
+
+#: Inputs of the logistic function, and between what they are kept.
+TOP, LOWEST, HIGHEST = 2, -1.5, 1.0
+
+
 @dataclass
 class Machine:
     """table: a weight for each hashed subsequence; bias; curve: the logistic function's weights."""
@@ -138,195 +254,172 @@ class Machine:
     bias: float
     curve: np.ndarray
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
-
-    def words(self, words: list[str]) -> np.ndarray:
-        """The decision for each word (the highest of its pieces)."""
-        return np.concatenate([np.zeros(0), *[self._some(words[i : i + 8192]) for i in range(0, len(words), 8192)]])
-
-    def _some(self, words: list[str]) -> np.ndarray:
-        cut = [pieces(w) for w in words]
-        flat = [p for ps in cut for p in ps]
-        got = np.zeros(len(flat))
-        for at in range(0, len(flat), 4096):
-            some = flat[at : at + 4096]
-            sums, squares = np.zeros(len(some)), np.zeros(len(some))
-            for c, v, w in subsequences(some):
-                sums += w * (self.table[c] * v).sum(axis=1)
-                squares += w * w * v.sum(axis=1)
-            got[at : at + 4096] = sums / np.sqrt(np.maximum(squares, 1e-9))
-        ends = np.cumsum([len(p) for p in cut])
-        return np.maximum.reduceat(got, ends - [len(p) for p in cut]) + self.bias if len(flat) else got
+    def windows(self, windows: list[str]) -> np.ndarray:
+        """The decision for each window given as text, such as " idiot "."""
+        return np.array([self.table[c] @ v for c, v in profiles(windows)]) + self.bias
 
-    @staticmethod
-    def inputs(scores: list[float]) -> tuple[float, float]:
-        top = [-3.0] * 2 + sorted(scores)[-2:]
-        return tuple(min(max(x, -1.5), 1.0) for x in (top[-1], top[-2]))
+    def inputs(self, texts: list[str]) -> np.ndarray:
+        out = np.full((len(texts), TOP), LOWEST)
+        for places, some in segments(texts):
+            stream = Stream.of(some)
+            score = stream.sums(self.table) + self.bias
+            for i, place in enumerate(places):
+                out[place] = np.sort([*out[place], *highest(stream, score, i)])[: -TOP - 1 : -1]
+        return np.clip(out, LOWEST, HIGHEST)
 
-    def score(self, rows: list[tuple[float, float]]) -> np.ndarray:
-        x = np.array(rows, dtype=np.float64).reshape(-1, 2)
-        return 1 / (1 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -30, 30)))
+    def score(self, inputs: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(inputs @ self.curve[:-1] + self.curve[-1], -30, 30)))
 
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """The score of each text."""
+        return self.score(self.inputs(texts))
 
-def three_letter_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The codes of the words' pieces of three letters in a row, and which are real."""
-    return next(subsequences(words), (np.zeros((len(words), 1), np.int64), np.zeros((len(words), 1), bool), 0.0))[:2]
 
-
-def evidence(vocabulary: list[str], bags: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """For each word, the mean over its three-letter pieces of how much oftener toxic documents hold the piece (a smoothed log ratio)."""
+def evidence(streams: list[Stream], toxic: list[np.ndarray]) -> np.ndarray:
+    """For each subsequence, how much oftener toxic texts hold it: a log ratio of document frequencies, held towards 0 by HOLD documents of the usual mix."""
     count = np.zeros((2, 1 << BITS), dtype=np.int32)
-    for b, y in zip(bags, toxic, strict=True):
-        if len(b):
-            c, v = three_letter_codes([pieces(vocabulary[i])[0] for i in b])
-            count[int(y), np.unique(c[v])] += 1
-    ratio = np.log((count[1] + 2) / (toxic.sum() + 4)) - np.log((count[0] + 2) / ((~toxic).sum() + 4))
-    out = np.full(len(vocabulary), -1.0)
-    for at in range(0, len(vocabulary), 4096):
-        c, v = three_letter_codes([pieces(w)[0] for w in vocabulary[at : at + 4096]])
-        n = v.sum(axis=1)
-        out[at : at + 4096] = np.where(n > 0, (ratio[c] * v).sum(axis=1) / np.maximum(n, 1), -1.0)
-    return out
+    for s, y in zip(streams, toxic, strict=True):
+        for code, b, _ in s.codes():
+            for i in range(len(y)):
+                a, z = s.bounds[i], s.bounds[i + 1]
+                if a < z:
+                    count[int(y[i]), np.unique(code[s.start[a] : max(s.start[a], s.end[a:z].max() - b + 1)])] += 1
+    n = np.array([sum(int((y == side).sum()) for y in toxic) for side in (False, True)], dtype=float)
+    share = n / n.sum()
+    return np.log((count[1] + HOLD * share[1]) / n[1]) - np.log((count[0] + HOLD * share[0]) / n[0])
 
 
-def learn(bags: Iterable[tuple[int, list[str]]], share: float, rounds: int = 3, seed: int = 7) -> Machine:
-    """The machine for bags of words (label, words); share: how often label 1 is in the rows that the bags were drawn from.
+def learn(bags: Iterable[tuple[int, str]], share: float, rounds: int = ROUNDS, seed: int = 7, witness: float = WITNESS, ridge: float = RIDGE, floor: float = FLOOR, balance: float = BALANCE) -> Machine:
+    """The machine for texts (label, text); share: how often label 1 is in the rows that they were drawn from.
 
-    Without bags of both labels every document scores the share of label 1.
+    Without texts of both labels every document scores the share of label 1.
     """
-    place: dict[str, int] = {}
-    label, at_words = [], []
-    for y, words in bags:
-        label.append(bool(y))
-        at_words.append(np.array([place.setdefault(w, len(place)) for w in words], dtype=np.int32))
-    toxic = np.array(label, dtype=bool)
-    if toxic.all() or not toxic.any():
+    bags = [(bool(y), t) for y, t in bags]
+    labels = np.array([y for y, _ in bags], dtype=bool)
+    if labels.all() or not labels.any():
         p = min(max(share, 1e-3), 1 - 1e-3)
-        return Machine(np.zeros(1 << BITS, dtype=np.float32), -1.0, np.array([0.0, 0.0, np.log(p / (1 - p))]))
+        return Machine(np.zeros(1 << BITS, dtype=np.float32), -1.0, np.array([0.0] * TOP + [np.log(p / (1 - p))]))
     rng = np.random.default_rng(seed)
-    vocabulary, n_toxic = list(place), int(toxic.sum())
-    del place
-    dt, dc = (sum((np.bincount(b, minlength=len(vocabulary)) for b, y in zip(at_words, toxic, strict=True) if y == side), np.zeros(len(vocabulary))) for side in (True, False))
-    expected = (dt + dc) * n_toxic / len(toxic)
-    surplus = np.where(dt + dc >= 3, (dt - expected) / np.sqrt(expected + 0.5), -1.0)
-    toxic_at = [b for b, y in zip(at_words, toxic, strict=True) if y and len(b)]
-    clean_at = [b for b, y in zip(at_words, toxic, strict=True) if not y and len(b)]
-    first = evidence(vocabulary, at_words, toxic)
-    order = np.argsort(-np.where(dt >= 2, first * np.log1p(dt), -1.0), kind="stable")
-    usual = np.nonzero(dc >= 2)[0]
-    usual = rng.permutation(usual if len(usual) else np.nonzero(dc)[0])[: LANDMARKS // 3]
-    marks = [x for x in dict.fromkeys(pieces(vocabulary[i])[0] for i in [*order[: LANDMARKS - len(usual)], *usual]) if x]
-    marks = marks or ["a"]
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
-    kept = values > 1e-4 * values.max()
-    project = vectors[:, kept] / np.sqrt(values[kept])  # Nystrom: K(w, landmarks) @ project
-    score, common = first, rng.permutation(np.nonzero(dc)[0])[:12_000]
-    strong = (surplus > 3.5) & (dt > 4 * dc)
-    machine = None
+    streams, toxic = [], []
+    for places, some in segments([t for _, t in bags]):  # a segment of a long text is a text here
+        streams.append(Stream.of(some))
+        toxic.append(labels[places])
+    ratio = evidence(streams, toxic)
+    score, machine = [s.sums(ratio) for s in streams], None
+    texts = [(k, i, bool(y)) for k, ys in enumerate(toxic) for i, y in enumerate(ys) if streams[k].bounds[i] < streams[k].bounds[i + 1]]
+    plain = [(k, j) for k, i, y in texts if not y for j in rng.integers(streams[k].bounds[i], streams[k].bounds[i + 1], PLAIN).tolist()]
+    marks: list[str] = []
+    # a witness must stand out from what most clean texts come to by chance, and then please the machine
+    level, strict = np.quantile([highest(streams[k], score[k], i)[0] for k, i, y in texts if not y] or [0.0], (witness, STRICT))
     for n in range(rounds):
-        # a word is a witness if its pieces of three letters speak for it, and once there is a machine, if that accepts it
-        witness = Counter(int(b[np.argmax(score[b])]) for b in toxic_at)
-        witness = Counter({w: c for w, c in witness.items() if first[w] > WITNESS and dt[w] >= 3 and dc[w] <= dt[w] / 10 and (not n or score[w] > 0)})
-        witness.update({int(w): int(dt[w]) for w in np.nonzero(strong)[0]})
-        hard = np.nonzero(dc)[0]
-        hard = hard[np.argsort(-score[hard], kind="stable")[:12000]]
-        negative = np.unique(np.concatenate([common, hard]))
-        negative = negative[~strong[negative]]
-        at = np.concatenate([np.array(sorted(witness), dtype=np.int64), negative])
-        y = np.concatenate([np.ones(len(witness)), -np.ones(len(negative))])
-        weight = np.concatenate([np.array([witness[w] for w in sorted(witness)], dtype=np.float64), np.minimum(dc[negative], 50)])
-        weight[y > 0] *= 0.1 * weight[y < 0].sum() / max(1e-9, weight[y > 0].sum())
-        x = kernel([pieces(vocabulary[i])[0] for i in at], marks) @ project.astype(np.float32)
-        w, bias = squared_hinge(x, y, weight)
-        alpha = project @ w
-        table, norm = np.zeros(1 << BITS), np.sqrt(np.maximum(norms(marks), 1e-9))
-        for c, v, each in subsequences(marks):
-            for i in range(len(marks)):
-                np.add.at(table, c[i][v[i]], each * alpha[i] / norm[i])
-        machine = Machine(table.astype(np.float32), bias, np.zeros(3))
-        score = machine.words(vocabulary)
-    x = np.array([machine.inputs(score[b].tolist() if len(b) else []) for b in [*toxic_at, *clean_at]])
-    y = np.array([1.0] * len(toxic_at) + [0.0] * len(clean_at))
-    weight = np.where(y > 0, share / max(1, len(toxic_at)), (1 - share) / max(1, len(clean_at))) * len(y)
-    machine.curve = logistic(x, y, weight)
-    if machine.curve[1] < 0:  # a second toxic word never speaks for a text
-        machine.curve = np.insert(logistic(x[:, :1], y, weight), 1, 0.0)
+        chosen: dict[tuple[str, bool], float] = {}
+        for k, i, y in texts:
+            a, b = streams[k].bounds[i], streams[k].bounds[i + 1]
+            if y:
+                some = [j for m, j in enumerate(peaks(streams[k], score[k], i, WITNESSES)) if score[k][j] > (strict if m else level)]
+            else:
+                some = (a + np.argpartition(-score[k][a:b], min(HARD, b - a) - 1)[:HARD]).tolist()
+            for j in some:
+                at = (streams[k].text(j), y)
+                chosen[at] = chosen.get(at, 0.0) + 1.0
+        for k, j in plain:
+            at = (streams[k].text(j), False)
+            chosen[at] = chosen.get(at, 0.0) + 1.0
+        if not any(y for _, y in chosen):
+            break
+        order = sorted(chosen, key=lambda w: (-w[1], -chosen[w], w[0]))
+        y = np.array([1.0 if w[1] else -1.0 for w in order])
+        weight = np.array([min(chosen[w], 50.0) if not w[1] else chosen[w] for w in order])
+        weight[y > 0] *= balance * weight[y < 0].sum() / max(1e-9, weight[y > 0].sum())
+        if not marks:
+            good, bad = [w for w, y in order if y], [w for w, y in order if not y]
+            bad = [bad[i] for i in rng.permutation(len(bad))[: max(LANDMARKS // 3, LANDMARKS - len(good))]]
+            marks = list(dict.fromkeys([*good[: LANDMARKS - len(bad)], *bad]))
+            values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
+            kept = values > 1e-4 * values.max()
+            project = vectors[:, kept] / np.sqrt(values[kept])  # Nystrom: K(w, landmarks) @ project
+        x = kernel([w for w, _ in order], marks) @ project.astype(np.float32)
+        w, bias = squared_hinge(x, y, weight, ridge)
+        table = np.zeros(1 << BITS)
+        for alpha, (c, v) in zip(project @ w, profiles(marks), strict=True):
+            table[c] += alpha * v
+        machine = Machine(table.astype(np.float32), bias, np.zeros(TOP + 1))
+        score, level = [s.sums(machine.table) + bias for s in streams], floor
+        strict = 0.0
+    if machine is None:
+        return learn([b for b in bags if not b[0]], share)
+    x = np.array([np.clip(highest(streams[k], score[k], i), LOWEST, HIGHEST) for k, i, _ in texts])
+    y = np.array([float(y) for _, _, y in texts])
+    weight = np.where(y > 0, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum())) * len(y)
+    used = list(range(TOP))
+    while (curve := logistic(x[:, used], y, weight))[1:-1].size and curve[1:-1].min() < 0:  # another toxic window never speaks for a text
+        used.pop(1 + int(np.argmin(curve[1:-1])))
+    machine.curve = np.zeros(TOP + 1)
+    machine.curve[[*used, TOP]] = curve
     return machine
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Machine:
-    """A machine from the labelled documents whose CRC-32 of the key as text is no multiple of 5, `sample` of each label at most.
+def cross_validate(rows: list[tuple[int, str]], folds: int = 4, **how) -> tuple[float, float]:
+    """(share of toxic rows found, share of others flagged) of rows (label, text), each judged by a machine that learnt from the other folds. For choosing settings within the training labels."""
+    found = []
+    for fold in range(folds):
+        rest = [r for i, r in enumerate(rows) if i % folds != fold]
+        machine = learn(rest, sum(y for y, _ in rest) / max(1, len(rest)), **how)
+        mine = [r for i, r in enumerate(rows) if i % folds == fold]
+        found += zip([y for y, _ in mine], machine([t for _, t in mine]) >= 0.5, strict=True)
+    rate = lambda label: sum(bool(p) for y, p in found if y == label) / max(1, sum(y == label for y, _ in found))
+    return rate(1), rate(0)
 
-    The sample is the first by a hash of the key, so reruns agree. Labels that are null or neither 0 nor
-    1 are left out; a key labelled twice counts as toxic if either label says so.
-    """
-    rows = labels.where(labels["toxic"].isin(0, 1) & labels[key].isNotNull()).groupBy(labels[key].alias("_key")).agg(F.max("toxic").alias("_toxic"))
-    rows = rows.where(F.crc32(F.col("_key").cast("string")) % 5 != 0)
-    counts = {r[0]: r[1] for r in rows.groupBy("_toxic").count().collect()}
-    drawn = [rows.where(F.col("_toxic") == y).orderBy(F.xxhash64("_key"), "_key").limit(sample) for y in (0, 1)]
-    drawn = drawn[0].unionByName(drawn[1])
-    slim = docs.select(docs[key].alias("_key"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    joined = slim.join(F.broadcast(drawn), "_key").select("_key", F.col("_toxic").cast("int").alias("toxic"), "text")  # 2 * sample keys at most
-
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([" ".join(sorted({letters(w) for w in tokens(t)} - {""})) for t in b.column(2).to_pylist()], pa.string())], names=["key", "toxic", "words"])
-
-    got = joined.mapInArrow(bag, f"key {slim.schema['_key'].dataType.simpleString()}, toxic int, words string").collect()
-    got.sort(key=lambda r: (str(r[0]), r[2]))
-    return learn(((r[1], r[2].split()) for r in got), counts.get(1, 0) / max(1, sum(counts.values())))
-
-
-class Scorer:
-    """Scores of texts in a task. Words are scored once and remembered, new ones of many texts at a time."""
 
-    def __init__(self, machine: Machine):
-        self.machine = machine
-        self.known = machine.__dict__.setdefault("known", {})  # the worker's copy lives on from task to task
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Machine:
+    """A machine from the labelled documents whose CRC-32 of the key as text is no multiple of 5: `sample` of each label and `chars` characters at most.
 
-    def __call__(self, texts: pa.Array, step: int = 512, most: int = 1 << 22) -> np.ndarray:
-        out, held, size = [], [], 0
-        for t in texts:
-            text = t.as_py() or ""
-            held.append(tokens(text))
-            size += len(text)
-            if len(held) >= step or size >= most:
-                out.append(self.some(held))
-                held, size = [], 0
-        return np.concatenate([*out, self.some(held)])
-
-    def some(self, held: list[set[str]]) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, new = self.known, sorted(set().union(*held) - self.known.keys())
-        new.sort(key=len)  # words of like length together, so little is padded
-        known.update(zip(new, self.machine.words(new).tolist(), strict=True))
-        return self.machine.score([Machine.inputs(list(map(known.__getitem__, x))) for x in held])
+    The sample is the first by a hash of key and text that fits, so reruns agree and the driver's memory is
+    bounded, however long the texts and however often a key repeats. Labels that are null or neither
+    0 nor 1 are left out; a key labelled twice counts as toxic if either label says so; null texts count as empty.
+    """
+    rows = labels.where(labels["toxic"].isin(0, 1) & labels[quoted(key)].isNotNull()).groupBy(labels[quoted(key)].alias("key")).agg(F.max("toxic").alias("toxic"))
+    rows = rows.where(F.crc32(F.col("key").cast("string")) % 5 != 0)
+    counts = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    drawn = [rows.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(sample) for y in (0, 1)]
+    slim = docs.select(docs[quoted(key)].alias("key"), F.coalesce(docs[quoted(text)].cast("string"), F.lit("")).alias("text"))
+    joined = slim.join(F.broadcast(drawn[0].unionByName(drawn[1])), "key").select(F.xxhash64("key", "text").alias("hash"), F.col("toxic").cast("int").alias("toxic"), "text")  # 2 * sample keys at most
+    taken: set[int] = set()
+    for y in (0, 1):
+        left = chars // 2
+        for r in joined.where(F.col("toxic") == y).select("hash", F.length("text").alias("n")).distinct().orderBy("hash").limit(sample).collect():
+            if r["n"] <= left:
+                taken.add(r["hash"])
+                left -= r["n"]
+    picked = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in sorted(taken)], "hash long"))
+    got = sorted(joined.join(picked, "hash", "left_semi").dropDuplicates(["hash"]).collect())
+    return learn(((r["toxic"], r["text"]) for r in got), counts.get(1, 0) / max(1, sum(counts.values())))
 
 
 def score_documents(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; only the text decides the score. A null or empty text scores as one without words."""
+    """doc_id, held_out, score, predicted for every row; only the text decides the score.
+
+    A null or empty text scores as one without words; very long texts are scored whole, in segments; rows that repeat
+    come back as often as they came, with equal scores; a null key is not held out; an empty table gives no rows. Other columns of docs, whatever their names, are not read.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
         for b in batches:
-            scores = scorer(b.column(1))
+            scores = sent.value([t or "" for t in b.column(1).to_pylist()])
             held = [zlib.crc32(str(k).encode()) % 5 == 0 if k is not None else False for k in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    slim = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
+    slim = docs.select(docs[quoted(key)].alias("doc_id"), docs[quoted(text)].cast("string").alias("text"))
     return slim.mapInArrow(score, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", most: float = 0.5) -> DataFrame:
-    """docs, in their columns, without those that score `most` or more."""
+    """docs, in their columns, without those that score `most` or more. Nulls, long texts and repeats as in score_documents(); columns may have any name."""
     sent, place = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
         for b in batches:
-            yield b.filter(pa.array(scorer(b.column(place)) < most))
+            yield b.filter(pa.array(sent.value([t or "" for t in b.column(place).to_pylist()]) < most))
 
     return docs.mapInArrow(keep, docs.schema)

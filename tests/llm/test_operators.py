@@ -624,8 +624,8 @@ def test_toxicity(spark, docs, empty):
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert {i for i, r in got.items() if r.held_out} == set(held)
     assert sum(got[i].predicted == labels[i][1] for i in held) / len(held) > 0.95
-    odd = machine.words(["idiot", "idioot", "i.d.i.o.t", "badena"])
-    assert odd[0] > odd[3] and odd[1] > odd[3] + 0.5 and odd[2] == odd[0]
+    odd = machine.windows([" idiot ", " idioot ", " badena "])
+    assert odd[0] > odd[2] and odd[1] > odd[2] + 0.5
     assert toxicity.score_documents(empty, machine).count() == 0
     assert all(0 <= r.score <= 1 for r in toxicity.score_documents(docs, machine).collect())
     kept = toxicity.drop_toxic(table, machine)
@@ -634,7 +634,82 @@ def test_toxicity(spark, docs, empty):
     assert {r.predicted for r in toxicity.score_documents(table, alone).collect()} == {0}
 
 
-def test_tokens_and_scores_are_per_text():
-    assert "idiot" in toxicity.tokens("you i d i o t there") and toxicity.pieces("a" * 100)[0] == "a" * 48
-    k = toxicity.kernel(["idiot", "table"], ["idiot", "idioot"])
-    assert k[0, 0] >= 1 - 1e-5 and k[0, 0] > k[0, 1] > 0.6 > 0.2 > k[1, 0]
+def normal_text(text):
+    """Lower-case letters, one space between words, three or more letters alone in a row as one word."""
+    words = [w for w in ("".join(c for c in w if c.isalpha()) for w in text.lower().split()) if w]
+    out, i = [], 0
+    while i < len(words):
+        j = i
+        while j < len(words) and len(words[j]) == 1:
+            j += 1
+        if j - i >= 3:
+            out.append("".join(words[i:j]))
+            i = j
+        else:
+            out.append(words[i])
+            i += 1
+    return out
+
+
+def all_subsequences(window):
+    """Every subsequence of three characters that spans SPAN at most, with its weight."""
+    out = Counter()
+    for i in range(len(window)):
+        for j in range(i + 1, len(window)):
+            for k in range(j + 1, min(len(window), i + toxicity.SPAN)):
+                out[window[i] + window[j] + window[k]] += toxicity.DECAY ** (k - i + 1)
+    return out
+
+
+def test_windows_and_kernel_against_brute_force():
+    texts = ["You i d i o t there, a.b", "", "  one\n two\tTHREE ", "x y", "don't stop", "é l è v e", "w" * 130 + " end", "123 456", "a b c", "q r s t\x85u"]
+    stream = toxicity.Stream.of(texts)
+    for i, text in enumerate(texts):
+        words = normal_text(text)
+        got = [stream.text(j) for j in range(stream.bounds[i], stream.bounds[i + 1])]
+        want = [f" {w} " for w in words if len(w) <= toxicity.PIECE] + [f" {a} {b} " for a, b in zip(words, words[1:], strict=False) if len(a) + len(b) + 2 <= toxicity.PIECE]
+        assert sorted(w for w in got if i != 6) == sorted(w for w in want if i != 6)
+    long = [stream.text(j) for j in range(stream.bounds[6], stream.bounds[7])]
+    assert " end " in long and len(long) > 4 and max(map(len, long)) == toxicity.PIECE + 2
+    windows = [" idiot ", " idioot ", " you idiot ", " table ", " a "]
+    k = toxicity.kernel(windows, windows[:3])
+    for i, a in enumerate(windows):
+        for j, b in enumerate(windows[:3]):
+            x, y = all_subsequences(a), all_subsequences(b)
+            norm = lambda w: math.sqrt(sum(toxicity.DECAY ** (2 * (z - p + 1)) for p in range(len(w)) for m in range(p + 1, len(w)) for z in range(m + 1, min(len(w), p + toxicity.SPAN))))
+            assert math.isclose(k[i, j], sum(v * y[s] for s, v in x.items()) / norm(a) / norm(b), abs_tol=1e-5)
+    table = np.random.default_rng(1).normal(size=1 << toxicity.BITS).astype(np.float32)
+    at = toxicity.Stream.of(["you idiot idioot", "table"])
+    for j, score in enumerate(at.sums(table)):
+        assert math.isclose(score, float(toxicity.Machine(table, 0.0, np.zeros(3)).windows([at.text(j)])[0]), abs_tol=1e-5)
+
+
+def test_scores_of_texts_in_segments(monkeypatch):
+    rng = random.Random(4)
+    machine = toxicity.Machine(np.random.default_rng(2).normal(size=1 << toxicity.BITS).astype(np.float32) / 4, -0.5, np.array([1.0, 0.5, 0.1]))
+    texts = [" ".join(rng.choice(["alpha", "beta", "idiot", "zeta"]) for _ in range(rng.randrange(60))) for _ in range(20)]
+    alone = [float(machine([t])[0]) for t in texts]
+    assert np.allclose(machine(texts), alone)
+    monkeypatch.setattr(toxicity, "STEP", 64)
+    assert np.allclose(machine.inputs(["idiot " * 100])[0, 0], machine.inputs(["idiot " * 3])[0, 0]) and len(machine(texts)) == 20
+
+
+def test_training_takes_a_bounded_sample_and_two_words_of_an_insult(spark):
+    rng = random.Random(6)
+    rows, labels = labelled(400)
+    common = ["bad", "apple"]  # each word alone is in clean texts, too
+    for i in range(400):
+        words = [rng.choice(["mo", "ra", "ti", "lo", "ku"]) + rng.choice(["na", "se", "ri"]) for _ in range(40)]
+        at = rng.randrange(38)
+        words[at : at + 2] = common if i % 4 == 0 else common[::-1]
+        rows.append((1000 + i, " ".join(words)))
+        labels.append((1000 + i, int(i % 4 == 0)))
+    only = [r for r in rows if r[0] >= 1000]
+    machine = toxicity.learn([(y, t) for (_, t), (_, y) in zip(only[:300], labels[400:700], strict=True)], 0.25)
+    found = machine([t for _, t in only[300:]]) >= 0.5
+    assert sum(bool(f) == bool(y) for f, (_, y) in zip(found, labels[700:], strict=True)) >= 95
+    table, marks = spark.createDataFrame([*rows[:400], *rows[:400], (4, "x " * 5000)], "doc_id long, text string"), spark.createDataFrame([*labels[:400], (4, 1)], "doc_id long, toxic int")
+    small = toxicity.train(table, marks, sample=60, chars=20_000)
+    assert np.array_equal(small.table, toxicity.train(table.repartition(5), marks, sample=60, chars=20_000).table)
+    recall, flagged = toxicity.cross_validate([(y, t) for (_, t), (_, y) in zip(rows[:400], labels[:400], strict=True)], folds=3)
+    assert recall > 0.9 and flagged < 0.1
