@@ -12,17 +12,16 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     """(node, root) for every node of links (u, v) other than the roots; root is the least node reachable.
 
     Each round, a node keeps its least smaller neighbour as its parent and links the parent to its other
-    smaller neighbours; every link then moves on to its target's parent (pointer jumping). Grouping is
-    by the larger end, whose smaller neighbours are few after distinct(); a node with very many larger
-    neighbours, such as a root, is only ever looked up, in a join whose large partitions can be split.
-    Each round is a written table, so lost executors cost a round at most.
+    smaller neighbours; every link then moves on to its target's parent (pointer jumping). Parents are
+    minima, added up before the shuffle; a node with very many neighbours on either side is otherwise only looked up, in a
+    join whose large partitions can be split. Each round is a written table, so lost executors cost a round at most.
     """
     at = scratch.save(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
     n = 0
     while True:
-        least = at.groupBy("u").agg(F.array_sort(F.collect_set("v")).alias("vs"))
-        parents = scratch.save(least.select("u", F.col("vs")[0].alias("p"), F.expr("slice(vs, 2, size(vs) - 1)").alias("rest")), f"{name}-p{n}")
-        moved = parents.select("u", F.col("p").alias("v"), F.lit(False).alias("new")).unionByName(parents.select(F.explode("rest").alias("u"), F.col("p").alias("v"), F.lit(True).alias("new")))
+        parents = scratch.save(at.groupBy("u").agg(F.min("v").alias("p")), f"{name}-p{n}")
+        rest = at.join(parents, "u").where(F.col("v") != F.col("p")).select(F.col("v").alias("u"), F.col("p").alias("v"), F.lit(True).alias("new"))
+        moved = parents.select("u", F.col("p").alias("v"), F.lit(False).alias("new")).unionByName(rest)
         step = moved.join(parents.select(F.col("u").alias("v"), F.col("p").alias("pp")), "v", "left")
         step = step.groupBy("u", F.coalesce("pp", "v").alias("to")).agg(F.max(F.col("new") | F.col("pp").isNotNull()).alias("changed"))
         done = scratch.save(step.withColumnRenamed("to", "v"), f"{name}-{n + 1}")

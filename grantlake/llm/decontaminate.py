@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh, quoted
 
 #: Words of one block of benchmark items, the most that is sent to executors at once (about 200 MB there). A larger benchmark goes block by block.
 BLOCK_WORDS = 1_000_000
@@ -79,20 +79,25 @@ def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[st
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", n: int = 13) -> DataFrame:
-    """docs with _hits (binary: a byte a word, 1 where the word is in an occurrence of a window) and _items (ids of items with occurrences).
+    """docs with two more columns, the last: the words that are hit (binary: a byte a word, 1 where it is in an occurrence of a window) and the ids of items with occurrences.
 
-    A window is n words of an item in a row, or all of a shorter item's. Words are runs of ASCII letters
+    The two are named hits and items, with underscores where docs has such a column, in whatever case. A window is n words
+    of an item in a row, or all of a shorter item's. Words are runs of ASCII letters
     and digits and of characters beyond ASCII, lower-cased in A-Z. Every hit of the hash set is verified
-    word by word. The scan is one pass without a shuffle for each block of the benchmark; after each
-    but the last the state is written to the shared folder, so memory is bounded by a block whatever the
-    benchmark's size. An item without words, or null, has no window; a null text has no words; an empty
-    benchmark hits nothing. An item without an id counts as item "".
+    word by word. The scan is one pass without a shuffle for each block of the benchmark; the driver holds a
+    block at a time, and after each but the last the state is written to the shared folder, so memory is bounded by a block whatever the
+    benchmark's size.
+
+    An item without words, or null, has no window; a null or empty text has no words; very long texts are scanned whole; an empty
+    benchmark hits nothing; an empty table stays empty. An item without an id counts as item ""; items with equal windows are all named,
+    and an id that two items share is named once. Rows that repeat are scanned one by one, alike.
     """
-    scratch, at, i = Scratch(docs.sparkSession), docs.withColumn("_hits", F.lit(None).cast("binary")).withColumn("_items", F.array().cast("array<string>")), 0
-    place = docs.columns.index(text)
-    todo = list(blocks(benchmark, item, item_text)) if benchmark.limit(1).count() else [[]]
-    for i, block in enumerate(todo):
-        sent = docs.sparkSession.sparkContext.broadcast(Windows(block, n))
+    scratch, names = Scratch(docs.sparkSession), fresh(docs.columns, "hits", "items")
+    at = docs.select("*", F.lit(None).cast("binary").alias(names[0]), F.array().cast("array<string>").alias(names[1]))
+    place, todo, i = docs.columns.index(text), blocks(benchmark, item, item_text), 0
+    block = next(todo)
+    while block is not None:
+        sent, after = docs.sparkSession.sparkContext.broadcast(Windows(block, n)), next(todo, None)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -106,14 +111,20 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))], names=b.schema.names)
 
         at = at.mapInArrow(scan, at.schema)
-        if i < len(todo) - 1:
+        if after is not None:
             at = scratch.save(at, f"after-{i}")
+            sent.destroy()
+        block, i = after, i + 1
     return at
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", n: int = 13, share: int = 20) -> DataFrame:
-    """A row a document: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined), contaminated (share * n_hit >= n_words > 0 hits)."""
-    found = scan_benchmark(docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text")), benchmark, "doc_id", "text", item, n=n)
+    """A row a document: doc_id, n_words, n_hit, n_items, items_sha256 (of the sorted ids, comma-joined), contaminated (share * n_hit >= n_words and n_hit > 0).
+
+    Nulls, empty and long texts, repeats and empty tables as in scan_benchmark(): a text without words has zeros, the hash of
+    no ids and is not contaminated; a null key is kept. A document with exactly one hit word in `share` is contaminated. Other columns of docs are not read.
+    """
+    found = scan_benchmark(docs.select(docs[quoted(key)].alias("doc_id"), docs[quoted(text)].cast("string").alias("text")), benchmark, "doc_id", "text", item, n=n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,7 +143,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n:
     """docs without contamination, in their columns.
 
     remove="documents" drops those in which hit words are at least one in `share`; remove="spans" keeps
-    every document and cuts the hit words, with what stands between two of them, from its text.
+    every document and cuts the hit words, with what stands between two of them, from its text. Nulls, empty and long texts,
+    repeats and empty tables as in scan_benchmark(): a text without words stays as it is, rows that repeat go or stay
+    together, and columns may have any name.
     """
     names = docs.columns
     found = scan_benchmark(docs, benchmark, text=text, n=n)

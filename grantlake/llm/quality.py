@@ -8,11 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, UPPER, Scratch, let, words
+from .common import LOWER, SPACE, UPPER, Scratch, let, quoted, words
 
 #: The symbols that the base counts.
 SYMBOLS = "#*$%&|<>"
 LETTERS = UPPER + LOWER
+#: Frequent function words of English, Spanish, French and German.
+FUNCTION_WORDS = (
+    "the of and to in a is that it for on was with as be by at are this from or have not "
+    "de la que el en y los del se las por un para con no una su al lo "
+    "le et les des du une est pour qui dans par pas au sur "
+    "der die und den von zu das mit sich auf für ist im dem nicht ein eine auch"
+)
 
 
 def n_of(text: Column, characters: str) -> Column:
@@ -41,8 +48,8 @@ def repeated_words(ws: Column, window: int = 3) -> Column:
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The counts that rules vote on, a row a document, without a shuffle. All are 0 for a null or empty text."""
-    t = F.coalesce(docs[text].cast("string"), F.lit(""))
-    at = docs.select(docs[key].alias("doc_id"), t.alias("t"), words(t).alias("ws"))
+    t = F.coalesce(docs[quoted(text)].cast("string"), F.lit(""))
+    at = docs.select(docs[quoted(key)].alias("doc_id"), t.alias("t"), words(t).alias("ws"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]"))
     return at.select(
         "doc_id",
@@ -56,6 +63,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         n_of(F.col("t"), LETTERS).alias("n_letters"),
         n_of(F.col("t"), "!").alias("n_shouts"),
         n_of(F.col("t"), ".?").alias("n_stops"),
+        F.size(F.filter("ws", lambda w: w.isin([x for w in FUNCTION_WORDS.split() for x in (w, w.capitalize())]))).cast("long").alias("n_function"),
     )
 
 
@@ -63,40 +71,33 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 class Rule:
     """A rule votes -1 (bad) if `bad` holds, else 1 (good) if `good` holds, else abstains (0).
 
-    slip: how often good documents are voted bad, to begin with; hint: how often a document is voted good if it is bad, next to 0.9 if it is good.
+    slip: how often good documents are voted bad, to begin with; hint: how often bad ones are voted good, next to 0.9 of the good ones.
     """
 
     name: str
     bad: str
-    good: str = "false"
-    slip: float = 0.005
-    hint: float = 0.4
+    good: str
+    slip: float = 0.01
+    hint: float = 0.6
 
     def start(self) -> tuple[dict[int, float], dict[int, float]]:
         """Likelihoods of votes given bad and good."""
-        says = self.good != "false"
-        bad = {-1: 0.3 if self.bad != "false" else 0.001, 1: self.hint if says else 0.001}
-        good = {-1: self.slip if self.bad != "false" else 0.001, 1: 0.9 if says else 0.001}
+        bad, good = {-1: 0.25, 1: self.hint}, {-1: self.slip, 1: 0.9}
         return tuple({**x, 0: 1 - sum(x.values())} for x in (bad, good))
 
 
-#: Rules that say only what is bad, and one that says what is good: votes for good from rules that look at the same plain prose would not be independent.
+#: Each rule looks at other evidence and votes both ways, with room to abstain between.
 RULES = (
-    Rule("length", "n_words < 50", slip=0.02),
-    Rule("symbols", "100 * n_symbols > 15 * n_words"),
-    Rule("repetition", "100 * n_repeat_words > 30 * n_words", slip=0.01),
-    Rule("lines", "100 * n_dup_lines > 30 * n_lines", slip=0.02),
-    Rule("shouting", "100 * n_upper > 40 * n_letters"),
-    Rule("exclamations", "100 * n_shouts > 15 * n_words"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", slip=0.01),
-    Rule("sentences", "100 * n_stops < n_words or 100 * n_stops > 60 * n_words", slip=0.02),
-    Rule(
-        "prose",
-        "false",
-        "n_words >= 30 and 100 * n_symbols <= 10 * n_words and 100 * n_repeat_words <= 30 * n_words and 100 * n_shouts <= 10 * n_words and 100 * n_upper <= 40 * n_letters"
-        " and word_chars between 3 * n_words and 12 * n_words and 100 * n_stops between 2 * n_words and 50 * n_words",
-        hint=0.05,
-    ),
+    Rule("length", "n_words < 50", "n_words >= 80", slip=0.02),
+    Rule("symbols", "100 * n_symbols > 10 * n_words", "100 * n_symbols <= 2 * n_words"),
+    Rule("repetition", "100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 5 * n_words"),
+    Rule("lines", "100 * n_dup_lines > 30 * n_lines", "n_dup_lines = 0 and n_lines > 1", slip=0.02),
+    Rule("shouting", "100 * n_upper > 40 * n_letters", "100 * n_upper between n_letters and 15 * n_letters"),
+    Rule("exclamations", "100 * n_shouts > 15 * n_words", "100 * n_shouts <= 2 * n_words"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
+    Rule("sentences", "100 * n_stops < n_words or 100 * n_stops > 60 * n_words", "100 * n_stops between 3 * n_words and 25 * n_words", slip=0.02),
+    Rule("function_words", "100 * n_function < 5 * n_words", "100 * n_function >= 15 * n_words", slip=0.02),
+    Rule("line_shape", "n_words < 4 * n_lines", "n_words >= 8 * n_lines", slip=0.02),
 )
 
 
@@ -161,8 +162,10 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", rule
 
     base_failed: under 50 words, or over half of them in repeated windows. kept: the base holds and the
     posterior probability of good quality is at least `least`. Features are written once to the shared
-    folder (numbers only); votes are counted and judged from there. A null or empty text fails the base;
-    an empty table has no rows; rows are judged one by one, so repeats are judged alike.
+    folder (numbers only); votes are counted and judged from there. A bad vote alone does not reject: what counts is how
+    reliable its rule has turned out and what the others say. A null or empty text fails the base;
+    an empty table has no rows; rows are judged one by one, so repeats are judged alike and come back
+    as often as they came; a tie at `least` is kept; columns other than key and text, whatever their names, are not read.
     """
     feats = Scratch(docs.sparkSession).save(features(docs, key, text), "features")
     model = fit_rules(feats, rules)

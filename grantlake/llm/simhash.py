@@ -15,10 +15,12 @@ from .common import Scratch
 from .components import components
 from .vptree import VPTree, block_masks, leaf_links
 
-#: Fingerprints that a forest is fitted on, at most; every fingerprint is indexed.
-SAMPLE = 1 << 16
-#: Leaves of a tree, at most (its size on the driver and in each task), fingerprints that a leaf aims at and that a task compares.
-LEAVES, LEAF_SIZE, TASK_SIZE = 4096, 2048, 8192
+#: Fingerprints that a forest is fitted on, at most (24 MB on the driver); every fingerprint is indexed.
+SAMPLE = 3 << 20
+#: Fingerprints that a leaf aims at, border points included, and the most that a task compares.
+LEAF_SIZE, TASK_SIZE = 1 << 15, 1 << 18
+#: Up to so many fingerprints trees have a radius: beyond, a ball around a block's value holds more than a leaf should.
+WITH_RADIUS = 1 << 29
 SEED = 42
 
 
@@ -53,27 +55,39 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
 
 
 def forest(sample: np.ndarray, n: int, within: int) -> list[VPTree]:
-    """Trees for n fingerprints. More of them need longer masks, so that a fingerprint meets few strangers; no setting loses a pair."""
-    blocks = next((m for m in (within + 1, within + 2, within + 4) if n >> (64 * (m - within) // m) <= 1 << 11), within + 4)
-    leaves = min(LEAVES, max(1, n // LEAF_SIZE))
-    return [VPTree.build(sample, mask, radius, max(8, len(sample) // leaves)) for mask, radius in block_masks(blocks, within)]
+    """Trees for n fingerprints. No setting loses a pair.
+
+    There are fewer blocks of bits than differences, so near pairs are within a radius in one of them, and points near a
+    boundary visit every shard that it parts. Only with very many fingerprints are there more
+    blocks than differences and unions of them as masks, on which near pairs agree.
+    """
+    small = max(1, (within + 2) // 2)  # a radius of 1 in one of so many blocks
+    blocks = small if n <= WITH_RADIUS else next((m for m in (within + 1, within + 2, within + 4) if n >> (64 * (m - within) // m) <= 1 << 11), within + 4)
+    leaf = max(8, len(sample) * LEAF_SIZE // max(n, 1))
+    return [VPTree.build(sample, mask, radius, leaf) for mask, radius in block_masks(blocks, within)]
+
+
+def sample_size(n: int) -> int:
+    """So many that a leaf has some 16 of them."""
+    return min(SAMPLE, max(1 << 14, 16 * n // LEAF_SIZE))
 
 
 def links(classes: DataFrame, scratch: Scratch, within: int) -> DataFrame:
     """(u, v), structs (least key, fp): links that join the same fingerprints as all pairs at distance <= within do."""
     n = classes.count()
-    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    trees = forest(sample, n, within)
+    sample = np.array([r[0] for r in classes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_size(n)).collect()], dtype=np.int64).view(np.uint64)
+    trees = scratch.spark.sparkContext.broadcast(forest(sample, n, within))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             points = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for t, tree in enumerate(trees):
+            for t, tree in enumerate(trees.value):
                 for leaf, at in tree.route(points):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), leaf, np.int32)), *b.take(pa.array(at)).columns], names=["tree", "leaf", "fp", "least"])
 
     routed = scratch.save(classes.select("fp", "least").mapInArrow(route, "tree int, leaf int, fp long, least long"), "routed")
     # A leaf over TASK_SIZE is cut into parts; each pair of parts is a task of its own. The list holds a row a leaf at most, and leaves are bounded.
+    # Leaves grow in number with the fingerprints, so only ones that no vantage point parts get there.
     hot = routed.groupBy("tree", "leaf").count().where(F.col("count") > TASK_SIZE).select("tree", "leaf", F.ceil(F.col("count") / (TASK_SIZE // 2)).cast("int").alias("parts"))
     parts = routed.join(F.broadcast(hot), ["tree", "leaf"], "left")
     part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("parts"))).cast("int")
@@ -81,7 +95,7 @@ def links(classes: DataFrame, scratch: Scratch, within: int) -> DataFrame:
     dealt = dealt.select("tree", "leaf", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "fp", "least")
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
-        tree = trees[int(part["tree"].iloc[0])]
+        tree = trees.value[int(part["tree"].iloc[0])]
         fp, least = part["fp"].to_numpy(), part["least"].to_numpy()
         found = np.array(leaf_links(fp.view(np.uint64), tree.mask, tree.radius, within), dtype=np.int64).reshape(-1, 2)
         i, j = found[:, 0], found[:, 1]

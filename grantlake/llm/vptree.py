@@ -25,19 +25,23 @@ def block_masks(n_blocks: int, within: int) -> list[tuple[int, int]]:
 
 @dataclass
 class VPTree:
-    """A tree over the Hamming metric of the bits in mask: a node keeps a vantage point and a distance; nearer points go left."""
+    """A tree over the Hamming metric of the bits in mask: a node keeps a vantage point and a distance; nearer points go left.
+
+    Points within radius of a node's boundary go both ways, so each leaf, a shard, holds its own points and
+    all within radius of them: every pair within radius meets in a leaf.
+    """
 
     mask: int
     radius: int
-    vantage: list[int] = field(default_factory=list)
-    limit: list[int] = field(default_factory=list)
-    left: list[int] = field(default_factory=list)
-    right: list[int] = field(default_factory=list)
+    vantage: np.ndarray | list[int] = field(default_factory=list)
+    limit: np.ndarray | list[int] = field(default_factory=list)
+    left: np.ndarray | list[int] = field(default_factory=list)
+    right: np.ndarray | list[int] = field(default_factory=list)
     leaves: int = 1
 
     @classmethod
     def build(cls, sample: np.ndarray, mask: int, radius: int, leaf_size: int) -> VPTree:
-        """Splits a sample at the median distance until leaves hold leaf_size of it or no vantage point separates them."""
+        """Splits a sample until leaves hold leaf_size of it, border points included, or no vantage point parts them well."""
         tree = cls(mask, radius)
         rng = np.random.default_rng(mask % (1 << 32))
         todo, leaves = [(sample, None)], 0
@@ -47,25 +51,27 @@ class VPTree:
             if at is None:
                 ref, leaves = -1 - leaves, leaves + 1
             else:
-                vantage, limit, near = at
+                vantage, limit, d = at
                 ref = len(tree.vantage)
                 tree.vantage.append(int(vantage)), tree.limit.append(limit), tree.left.append(0), tree.right.append(0)
-                todo += [(points[near], (tree.left, ref)), (points[~near], (tree.right, ref))]
+                todo += [(points[d - radius <= limit], (tree.left, ref)), (points[d + radius > limit], (tree.right, ref))]
             if where:
                 where[0][where[1]] = ref
         tree.leaves = max(1, leaves)
+        tree.vantage, tree.limit, tree.left, tree.right = (np.array(x, dtype=t) for x, t in ((tree.vantage, np.uint64), (tree.limit, np.int16), (tree.left, np.int32), (tree.right, np.int32)))
         return tree
 
     def _split(self, points: np.ndarray, rng) -> tuple | None:
-        best = None
+        """(vantage point, limit, distances) of the best of some vantage points and limits: that whose larger side is least."""
+        best, most = None, 0.9 * len(points)
         for v in points[rng.integers(0, len(points), 8)]:
-            d = np.bitwise_count((points ^ v) & np.uint64(self.mask))
-            limit = int(np.median(d))
-            for at in (limit - 1, limit):
-                near = int((d <= at).sum())
-                if 0 < near < len(points) and (best is None or abs(2 * near - len(points)) < best[0]):
-                    best = (abs(2 * near - len(points)), v, at, d <= at)
-        return best and best[1:]
+            d = np.bitwise_count((points ^ v) & np.uint64(self.mask)).astype(np.int16)
+            middle = int(np.median(d))
+            for limit in range(middle - 2, middle + 2):
+                left, right = int((d - self.radius <= limit).sum()), int((d + self.radius > limit).sum())
+                if left and right and max(left, right) < most:
+                    best, most = (v, limit, d), max(left, right)
+        return best
 
     def route(self, points: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(leaf, places of the points that belong to it or lie within radius of its boundary).
@@ -74,7 +80,7 @@ class VPTree:
         radius on the left unless d - radius <= limit, and none on the right unless d + radius > limit:
         such a branch is pruned.
         """
-        if not self.vantage:
+        if not len(self.vantage):
             yield 0, np.arange(len(points))
             return
         todo = [(0, np.arange(len(points)))]
@@ -85,8 +91,8 @@ class VPTree:
             if node < 0:
                 yield -1 - node, at
                 continue
-            d = np.bitwise_count((points[at] ^ np.uint64(self.vantage[node])) & np.uint64(self.mask)).astype(np.int16)
-            todo += [(self.left[node], at[d - self.radius <= self.limit[node]]), (self.right[node], at[d + self.radius > self.limit[node]])]
+            d = np.bitwise_count((points[at] ^ self.vantage[node]) & np.uint64(self.mask)).astype(np.int16)
+            todo += [(int(self.left[node]), at[d - self.radius <= self.limit[node]]), (int(self.right[node]), at[d + self.radius > self.limit[node]])]
 
 
 def spanning_links(points: np.ndarray, within: int) -> list[tuple[int, int]]:
@@ -120,15 +126,62 @@ def spanning_links(points: np.ndarray, within: int) -> list[tuple[int, int]]:
     return out
 
 
+#: Groups of points alike in the mask whose pairs are made at once; pairs made at a time.
+SMALL, PAIRS = 32, 1 << 20
+
+
 def leaf_links(points: np.ndarray, mask: int, radius: int, within: int) -> list[tuple[int, int]]:
-    """Links within a leaf. Under a mask of radius 0 only points alike in the mask can be new pairs: the others meet under another mask."""
-    if radius:
+    """Links within a leaf, of pairs that differ in at most radius bits of the mask: the others meet under another mask."""
+    if radius > 1:
         return spanning_links(points, within)
     masked = points & np.uint64(mask)
     order = np.argsort(masked, kind="stable")
-    cuts = np.nonzero(np.diff(masked[order]))[0] + 1
-    out = []
-    for run in np.split(order, cuts):
-        if len(run) > 1:
-            out += [(int(run[i]), int(run[j])) for i, j in spanning_links(points[run], within)]
-    return out
+    p, m = points[order], masked[order]
+    first = np.concatenate([[0], np.nonzero(np.diff(m))[0] + 1]) if len(m) else np.zeros(0, np.int64)
+    size = np.diff(np.concatenate([first, [len(m)]]))
+    found: list[np.ndarray] = []
+
+    def near(i: np.ndarray, j: np.ndarray) -> None:
+        hit = np.bitwise_count(p[i] ^ p[j]) <= within
+        found.append(np.stack([i[hit], j[hit]], axis=1))
+
+    # alike in the mask: all pairs of small groups, a spanning forest of large ones, whose trees are named by label
+    small, label = np.repeat(size <= SMALL, size), np.arange(len(p))
+    for k in range(1, min(SMALL, int(size.max(initial=0)))):
+        i = np.nonzero((m[k:] == m[:-k]) & small[k:])[0]
+        near(i, i + k)
+    for g in np.nonzero(size > SMALL)[0]:
+        links = np.array(spanning_links(p[first[g] : first[g] + size[g]], within), dtype=np.int64).reshape(-1, 2) + first[g]
+        for i, j in links.tolist():
+            label[j] = label[i]
+        found.append(links)
+    # one bit of the mask apart
+    values = m[first]
+    for bit in range(64 if radius else 0):
+        if not mask >> bit & 1:
+            continue
+        other = values ^ np.uint64(1 << bit)
+        at = np.minimum(np.searchsorted(values, other), max(0, len(values) - 1))
+        g = np.nonzero((values[at] == other) & (values < other))[0]
+        h = at[g]
+        many = (size[g] > SMALL) | (size[h] > SMALL)
+        for a, b in zip(g[many].tolist(), h[many].tolist(), strict=True):
+            a, b = (a, b) if size[a] <= size[b] else (b, a)
+            large = np.arange(first[b], first[b] + size[b])
+            for q in range(first[a], first[a] + size[a]):
+                hits = large[np.bitwise_count(p[large] ^ p[q]) <= within]
+                hits = hits[np.unique(label[hits], return_index=True)[1]]  # one of each tree will do
+                found.append(np.stack([np.full(len(hits), q), hits], axis=1))
+        g, h = g[~many], h[~many]
+        pairs = size[g] * size[h]
+        ends = np.cumsum(pairs)
+        start = 0
+        while start < len(g):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS)))
+            n = pairs[start:stop]
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            width = np.repeat(size[h[start:stop]], n)
+            near(np.repeat(first[g[start:stop]], n) + k // width, np.repeat(first[h[start:stop]], n) + k % width)
+            start = stop
+    links = order[np.concatenate(found)] if found else np.zeros((0, 2), np.int64)
+    return [(int(i), int(j)) for i, j in links.tolist()]

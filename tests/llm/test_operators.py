@@ -112,6 +112,49 @@ def test_forest_loses_no_pair(blocks):
                 assert find(i) == find(j)
 
 
+@pytest.mark.parametrize("n", [3000, 1 << 40])
+def test_border_points_visit_every_shard_they_may_have_partners_in(n):
+    rng = np.random.default_rng(7)
+    points = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    visits = []
+    for tree in simhash.forest(points, n if n > 4000 else 1 << 18, 4):
+        shards = defaultdict(set)
+        for leaf, at in tree.route(points):
+            for i in at.tolist():
+                shards[i].add(leaf)
+        assert tree.leaves > 1 and len(shards) == len(points)
+        visits.append(sum(map(len, shards.values())) / len(points))
+        mask = np.uint64(tree.mask)
+        for i in range(0, len(points), 50):
+            for j in np.nonzero(np.bitwise_count((points ^ points[i]) & mask) <= tree.radius)[0].tolist():
+                assert shards[i] & shards[j]
+    if n == 3000:
+        assert all(1.2 < v < 12 for v in visits)  # the boundary is crossed, but not by all
+    else:
+        assert all(v == 1 for v in visits)
+
+
+def test_dense_leaves_join_like_all_pairs():
+    """Large groups alike in the mask, and groups one bit apart."""
+    rng = np.random.default_rng(11)
+    center = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
+    points = np.unique(np.concatenate([c ^ np.bitwise_or(np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64), np.uint64(1) << rng.integers(0, 64, 150).astype(np.uint64)) for c in center]))
+    met: dict[int, int] = {}
+
+    def find(x):
+        while met.setdefault(x, x) != x:
+            x = met[x]
+        return x
+
+    for mask, radius in vptree.block_masks(3, 4):
+        for i, j in vptree.leaf_links(points, mask, radius, 4):
+            assert int(points[i] ^ points[j]).bit_count() <= 4
+            met[find(i)] = find(j)
+    for i in range(len(points)):
+        for j in range(i):
+            assert int(points[i] ^ points[j]).bit_count() > 4 or find(i) == find(j)
+
+
 def test_hot_leaves_are_cut(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TASK_SIZE", 32)
     fps = [(i, (1 << (i % 60)) | (1 << (i * 7 % 61))) for i in range(200)]
@@ -392,12 +435,99 @@ def test_quality_counts(spark, docs, messy):
     assert got == want
 
 
+def quality_votes(text):
+    """The votes of the rules on a text, in plain Python."""
+    text = text or ""
+    n, chars, symbols, dups, repeats = base(text)
+    lines = sum(1 for x in text.split("\n") if split(x))
+    upper, letters = sum("A" <= c <= "Z" for c in text), sum("a" <= c.lower() <= "z" and c.isascii() for c in text)
+    stops, known = sum(c in ".?" for c in text), {x for w in quality.FUNCTION_WORDS.split() for x in (w, w.capitalize())}
+    function = sum(w in known for w in split(text))
+    say = lambda bad, good: -1 if bad else 1 if good else 0
+    return (
+        say(n < 50, n >= 80),
+        say(100 * symbols > 10 * n, 100 * symbols <= 2 * n),
+        say(100 * repeats > 30 * n, 100 * repeats <= 5 * n),
+        say(100 * dups > 30 * lines, dups == 0 and lines > 1),
+        say(100 * upper > 40 * letters, letters <= 100 * upper <= 15 * letters),
+        say(100 * text.count("!") > 15 * n, 100 * text.count("!") <= 2 * n),
+        say(chars < 2 * n or chars > 14 * n, 3 * n <= chars <= 9 * n),
+        say(100 * stops < n or 100 * stops > 60 * n, 3 * n <= 100 * stops <= 25 * n),
+        say(100 * function < 5 * n, 100 * function >= 15 * n),
+        say(n < 4 * lines, n >= 8 * lines),
+    )
+
+
+def plain_posteriors(votes):
+    """Expectation-maximisation document by document, with the same start and hold."""
+    first, hold = [r.start() for r in quality.RULES], max(1.0, 0.05 * len(votes))
+    prior, like = 0.7, first
+    for _ in range(100):
+        post = []
+        for vs in votes:
+            good, bad = prior, 1 - prior
+            for v, (b, g) in zip(vs, like, strict=True):
+                good, bad = good * g[v], bad * b[v]
+            post.append(good / (good + bad))
+        new = []
+        for i, (b, g) in enumerate(first):
+            sums = [{v: hold * p for v, p in one.items()} for one in (b, g)]
+            for vs, p in zip(votes, post, strict=True):
+                sums[0][vs[i]] += 1 - p
+                sums[1][vs[i]] += p
+            new.append([{v: c / sum(one.values()) for v, c in one.items()} for one in sums])
+        before, prior, like = prior, (sum(post) + 0.7 * hold) / (len(votes) + hold), new
+        if abs(prior - before) < 1e-9:
+            break
+    out = []
+    for vs in votes:
+        good, bad = prior, 1 - prior
+        for v, (b, g) in zip(vs, like, strict=True):
+            good, bad = good * g[v], bad * b[v]
+        out.append(good / (good + bad))
+    return out
+
+
+def test_quality_verdict_against_plain_expectation_maximisation(spark):
+    rng = random.Random(21)
+    words = quality.FUNCTION_WORDS.split()
+
+    def document(kind):
+        lines = []
+        for _ in range(rng.randrange(2, 9)):
+            line = [rng.choice(words) if rng.random() < 0.4 else "".join(rng.choice("bcdfglmnrstaeiou") for _ in range(rng.randrange(3, 9))) for _ in range(rng.randrange(8, 30))]
+            lines.append(" ".join(line).capitalize() + ".")
+        if kind == 1:
+            lines = [w + rng.choice(["###", "$$$", "***"]) for x in lines for w in [x]] + ["# $ % & | * < >"] * 6
+        if kind == 2:
+            lines = [x.upper().replace(" ", "!! ") for x in lines]
+        if kind == 3:
+            lines = lines[:1] * 12
+        if kind == 4:
+            lines = [w for x in lines for w in x.split()]
+        if kind == 5:
+            lines = [x.replace(".", "") for x in lines]  # one mild fault alone
+        return "\n".join(lines)
+
+    texts = [document(rng.choice([0, 0, 0, 0, 1, 2, 3, 4, 5])) for _ in range(300)] + [None, "", "one", "x " * 400]
+    got = {r.doc_id: r for r in quality.judge_quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    votes = [quality_votes(t) for t in texts]
+    want = plain_posteriors(votes)
+    for i, (t, p) in enumerate(zip(texts, want, strict=True)):
+        b = base(t)
+        assert math.isclose(got[i].posterior, p, rel_tol=1e-6, abs_tol=1e-9)
+        assert got[i].kept == (not (b[0] < 50 or 100 * b[4] > 50 * b[0]) and p >= 0.5)
+    # the posterior is no conjunction: one bad vote may be outweighed, and reliable ones are not
+    failed = [got[i].base_failed for i in range(len(texts))]
+    assert any(got[i].kept and -1 in votes[i] for i in range(len(texts))) and any(not got[i].kept and -1 in votes[i] and not failed[i] for i in range(len(texts)))
+
+
 def test_label_model_finds_the_junk():
     rng = random.Random(4)
     patterns, truth = Counter(), {}
     for _ in range(4000):
         good = rng.random() < 0.8
-        votes = tuple((1 if good and rng.random() < 0.95 else 0) if r.name == "prose" else (-1 if rng.random() < (0.01 if good else 0.3) else 0) for r in quality.RULES)
+        votes = tuple(rng.choices((-1, 0, 1), (0.01, 0.09, 0.9) if good else (0.3, 0.2, 0.5))[0] for _ in quality.RULES)
         patterns[votes] += 1
         truth.setdefault(votes, Counter())[good] += 1
     model = quality.LabelModel.fit(dict(patterns))

@@ -1,8 +1,10 @@
 """The pipeline, stage by stage, against what the operators say of its input."""
 
 import corpus_pipeline
-from grantlake.llm import decontaminate, mixing, sharding, simhash, toxicity
+import pytest
+from grantlake.llm import decontaminate, license_scan, line_dedup, mixing, quality, sharding, simhash, substring, toxicity
 from grantlake.llm.queries import oracle_sql, queries
+from pyspark.sql import functions as F
 from test_operators import DOCS, brute, labelled, messy  # noqa: F401
 
 
@@ -49,6 +51,31 @@ def test_one_row_of_each_group_whatever_the_ids(spark, tmp_path):
     assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted((str(i), t) for i, t in want) and got.columns == at.columns
 
 
+#: Names that operators and stages use inside.
+INSIDE = "row name size hash tie bucket start source_size target words taken slot epoch block cut known text_crc32 law shard grown_shard scores hits items items_ key fp least id dkey seed copies component_id fingerprint root score predicted held_out toxic page_id host lines h places part path _sum _before _inner _size _hash _tie _scores _bucket _id _row _hits _items _source _start _slot url html"
+
+
+@pytest.mark.parametrize("case", [str.lower, str.upper])
+def test_columns_may_have_any_name(spark, tmp_path, case):
+    rows, labels = labelled(120)
+    names = [case(n) for n in INSIDE.split()]
+    folder = write(spark, tmp_path, [(i, t, "en", f"s{i % 3}", len(t)) for i, t in rows], [(1, rows[9][1])], [(i, 1, y) for i, y in labels])
+    plain = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = plain.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        assert all(r[n] == f"{n}-{r.doc_id}" for r in got.collect() for n in names)
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, stage(spark, plain, folder).collect()))
+    out = corpus_pipeline.sharded(spark, docs, folder)
+    new = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert out.columns == [c for c in docs.columns if c.lower() not in new] + new
+    assert sorted(map(str, out.select("doc_id", *new).collect())) == sorted(map(str, corpus_pipeline.sharded(spark, plain, folder).select("doc_id", *new).collect()))
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    for apply in (simhash.near_duplicates, mixing.mix_report, quality.judge_quality, substring.find_passages, license_scan.scan_licenses, lambda d: decontaminate.contamination(d, benchmark), lambda d: line_dedup.drop_boilerplate(d, key="doc_id", url="source", html="text")):
+        assert sorted(map(str, apply(docs).collect())) == sorted(map(str, apply(plain).collect()))
+
+
 def test_empty_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, write(spark, tmp_path, [])).count() == 0
 
