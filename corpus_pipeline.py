@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantlake.llm import decontaminate, mixing, sharding, simhash, toxicity
-from grantlake.llm.common import Scratch, table
+from grantlake.llm.common import Scratch, fields, packed, quoted, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5; the machine is trained on the labelled ones of docs."""
+    """Documents that score under 0.5; the machine is trained on the labelled ones of docs. A null or empty text scores as one without words; rows that repeat go or stay together; columns may have any name."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
@@ -22,28 +22,29 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """Of each group of rows whose texts are near-duplicates, one row: that of the least id, or of no id if none has one.
 
     Rows are told apart by id, text and the other columns, so a group keeps its row whatever ids others
-    repeat or lack. Among rows of the least id, hashes of text and columns decide; equal rows are one.
+    repeat or lack. Among rows of the least id, hashes of text and columns decide; equal rows are one, so reruns agree. Null and
+    empty texts are near-duplicates of each other; an empty table stays empty; columns may have any name.
     """
     scratch = Scratch(spark)
-    row = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(*docs.columns)))
-    fps = scratch.save(simhash.fingerprints(docs.select(F.struct("doc_id", row.alias("row")).alias("key"), "text"), "key"), "rows")
+    row = F.concat_ws(":", F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.hex(F.xxhash64(docs["text"])), F.hex(F.xxhash64(*[docs[quoted(c)] for c in docs.columns])))
+    fps = scratch.save(simhash.fingerprints(docs.select(F.struct(docs["doc_id"], row.alias("row")).alias("key"), docs["text"]), "key"), "rows")
     found = fps.join(simhash.groups(fps.select("key.doc_id", "fp").withColumnRenamed("doc_id", "key"), scratch), "fp")
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("key.doc_id").isNull(), "key.doc_id", "key.row")).alias("least")).select(F.col("least.row").alias("_row"))
-    return docs.withColumn("_row", row).join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("key.doc_id").isNull(), "key.doc_id", "key.row")).alias("least")).select(F.col("least.row").alias("id"))
+    return docs.select(row.alias("id"), packed(docs).alias("row")).join(keep, "id", "left_semi").dropDuplicates(["id"]).select(*fields(docs))
 
 
 def without_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which under one word in 20 is in a benchmark window."""
+    """Documents in which under one word in 20 is in a benchmark window; null and empty texts stay, rows that repeat go or stay together, an empty benchmark drops none, columns may have any name."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; one taken in part is cut."""
+    """Documents as often as the schedule takes them, in no order; one taken in part is cut. Rows without words are never taken; repeated rows are rows of their own; n_chars counts the text as it is then; columns may have any name."""
     return mixing.mixed_documents(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with their shard and their place in it."""
+    """Rows with their shard and their place in it. Null ids share a shard, a null text counts as empty, repeated rows get slots of their own; a column with the name of a new one gives way."""
     return sharding.shard_records(docs)
 
 
