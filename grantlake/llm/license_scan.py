@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import Scratch, ascii_lower, let, quoted
 
 SHINGLE, BANDS = 5, 48
-#: Templates whose signatures are sent to all executors at once; more go in blocks of this many.
-BLOCK = 20_000
+#: Templates, and shingles of them, that are sent to all executors and stand in a plan at once, at most (5 MB or so); more go in blocks.
+BLOCK, BLOCK_SHINGLES = 1_000, 200_000
 #: What public licences and notices say; more come as a table (name, text).
 TEMPLATES = (
     ("Apache-2.0 notice", "Licensed under the Apache License, Version 2.0."),
@@ -63,7 +65,7 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "name string, text string")
 
 
-def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS, block: int = BLOCK) -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, key: str = "doc_id", text: str = "text", least: float = 0.8, bands: int = BANDS) -> DataFrame:
     """A row a document and template that it holds: doc_id, license, n_shingles, containment, first_word, last_word.
 
     A template of s shingles is sought in windows of twice its class (s rounded up to a power of two) that
@@ -74,20 +76,39 @@ def scan_licenses(docs: DataFrame, templates: DataFrame | None = None, key: str
     Every candidate is verified by exact containment of shingles; the window that holds most, the
     earliest of equals, gives containment and the first and last word (places from 0, within the window).
 
-    Templates come in blocks, so what is sent to executors is bounded. Templates without words never
-    match; null or empty texts match nothing; repeated document rows give a row each; a template name
-    that occurs twice is two templates with one name.
+    Templates come in blocks of bounded size, so what is sent to executors or held on the driver is bounded; where there are several, each block's
+    rows are written to the shared folder. A template longer than a block's shingles is one alone. Templates without words never
+    match; null or empty texts match nothing; very long texts are scanned whole; of windows that hold equally many the earliest
+    counts; repeated document rows give a row each; a template name that occurs twice is two templates with one name; an
+    empty table gives no rows. Columns other than key and text are not read, whatever their names.
     """
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, docs.schema[key].dataType.simpleString()
     templates = default_templates(spark) if templates is None else templates
     known = templates.select(F.col("name"), F.array_distinct(shingles(license_words(F.col("text")))).alias("t")).where(F.size("t") > 0)
     known = known.withColumn("half", F.pow(F.lit(2), F.ceil(F.log2(F.size("t")))).cast("int")).withColumn("sig", F.array(*signature(F.col("t"), bands)))
-    rows = list(known.toLocalIterator())
-    found = [_scan(docs, rows[i : i + block], key, text, least, bands) for i in range(0, len(rows), block)]
-    empty = spark.createDataFrame([], f"doc_id {docs.schema[key].dataType.simpleString()}, license string, n_shingles long, containment double, first_word long, last_word long")
-    for one in found:
-        empty = empty.unionByName(one)
-    return empty
+    out, scratch = spark.createDataFrame([], f"doc_id {kind}, license string, n_shingles long, containment double, first_word long, last_word long"), None
+    todo = blocks(known.toLocalIterator())
+    rows = next(todo, None)
+    while rows is not None:
+        found, after = _scan(docs, rows, key, text, least, bands), next(todo, None)
+        if after is not None or scratch:
+            scratch = scratch or Scratch(spark)
+            found = scratch.save(found, f"block-{uuid.uuid4().hex}")
+        out, rows = out.unionByName(found), after
+    return out
+
+
+def blocks(rows: Iterator[Row]) -> Iterator[list[Row]]:
+    block: list[Row] = []
+    size = 0
+    for r in rows:
+        if block and (len(block) == BLOCK or size + len(r["t"]) > BLOCK_SHINGLES):
+            yield block
+            block, size = [], 0
+        block.append(r)
+        size += len(r["t"])
+    if block:
+        yield block
 
 
 def _scan(docs: DataFrame, rows: list, key: str, text: str, least: float, bands: int) -> DataFrame:
@@ -95,7 +116,7 @@ def _scan(docs: DataFrame, rows: list, key: str, text: str, least: float, bands:
     halves = sorted({r["half"] for r in rows})
     marks = {h: sorted({s for r in rows if r["half"] == h for s in r["sig"]}) for h in halves}
     every = sorted({s for m in marks.values() for s in m})
-    at = docs.select(docs[key].alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingles(license_words(docs[text])).alias("h"))
+    at = docs.select(docs[quoted(key)].alias("doc_id"), F.monotonically_increasing_id().alias("row"), shingles(license_words(docs[quoted(text)].cast("string"))).alias("h"))
     # the places of shingles that some band of some template has as its least; most texts have none
     places = let(F.col("h"), lambda h: F.filter(F.transform(h, lambda x, i: F.when(x.isin(every), i)), lambda i: i.isNotNull()))
     at = at.withColumn("places", places).where(F.size("places") > 0)

@@ -28,7 +28,7 @@ def page_lines() -> str:
 
 LINE_DEDUP = rf"""WITH p AS (SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, {page_lines()} AS lines FROM pages),
 totals AS (SELECT host, count(*) AS n FROM p GROUP BY host),
-often AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN totals USING (host) GROUP BY host, line, n HAVING n >= 10 AND count(*) >= 3 AND count(*) >= n * 0.1),
+often AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) JOIN totals USING (host) GROUP BY host, line, n HAVING count(*) >= 3 AND count(*) >= n * 0.1),
 gone AS (SELECT host, list(line) AS boiler FROM often GROUP BY host),
 kept AS (SELECT page_id, p.host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(boiler, []), x)) AS kept FROM p LEFT JOIN gone ON p.host = gone.host)
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, coalesce(array_to_string(kept, chr(10)), '') AS text FROM kept"""

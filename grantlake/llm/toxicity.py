@@ -85,7 +85,7 @@ class Stream:
         points, owner, blank = points[kept], owner[kept], blank[kept]
         kept = ~blank | ~np.concatenate([[False], blank[:-1]])  # one space between words
         points, owner, blank = points[kept], owner[kept], blank[kept]
-        points = np.where(blank, SPACE, points)
+        points = np.where(blank, np.uint32(SPACE), points)
         # letters alone in a row of three or more are one word
         at = np.flatnonzero(blank)
         of = owner[np.minimum(at + 1, len(points) - 1)]  # the text of the word behind each space
@@ -114,8 +114,9 @@ class Stream:
         starts, ends = np.concatenate([first, start[pair]]), np.concatenate([last, end[np.minimum(pair + 1, max(0, n - 1))]])
         words, count = np.concatenate([np.repeat(word, cuts), pair]), np.concatenate([np.ones(len(first), np.int8), np.full(len(pair), 2, np.int8)])
         order = np.argsort(words, kind="stable")
-        starts, ends, words, count = starts[order], ends[order], words[order], count[order]
-        return cls(points, starts, ends, words, count, np.searchsorted(of[words], np.arange(len(texts) + 1)))
+        of = of[words[order]]
+        starts, ends, words, count = (x[order].astype(t) for x, t in ((starts, np.int32), (ends, np.int32), (words, np.int32), (count, np.int8)))
+        return cls(points, starts, ends, words, count, np.searchsorted(of, np.arange(len(texts) + 1)))
 
     def codes(self) -> Iterator[tuple[np.ndarray, int, float]]:
         """For each shape of gaps: the code of the subsequence that begins at each character, how far it reaches, its weight."""

@@ -557,6 +557,31 @@ def test_boilerplate_lines(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def brute_lines(pages, ratio=0.1, repeats=3):
+    """(page_id, host, n_lines, n_dropped, text) of pages (page_id, url, text)."""
+    cut = [(i, (re.match(r"[a-z]+://([^/]*)", u or "") or [None, ""])[1], [" ".join(x.split()) for x in (t or "").split("\n") if x.split()]) for i, u, t in pages]
+    hosts, held = Counter(h for _, h, _ in cut), Counter((h, x) for _, h, ls in cut for x in set(ls))
+    out = Counter()
+    for i, h, ls in cut:
+        kept = [x for x in ls if not (held[h, x] >= repeats and held[h, x] >= hosts[h] * ratio)]
+        out[(i, h, len(ls), len(ls) - len(kept), "\n".join(kept))] += 1
+    return out
+
+
+def test_lines_of_texts_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 4)
+    rng = random.Random(17)
+    pages = []
+    for i in range(300):
+        site = "hot" if i % 3 == 0 else f"s{i % 40}"
+        ls = [rng.choice([f"menu of {site}", "  menu\tof all ", f"own {i}", f"own {i}", f"part {rng.randrange(12)}", "", " \t "]) for _ in range(rng.randrange(12))]
+        pages.append((i, f"http://{site}/{i}", "\n".join(ls)))
+    pages += [pages[0], pages[0], (None, None, "a\nb"), (None, None, None), (7, "http://long/", "long " * 60000 + "\nx"), (8, "http://tie/", "t")] + [(400 + i, "http://tie/", "t" if i < 2 else f"u{i}") for i in range(29)]
+    got = Counter(map(tuple, line_dedup.drop_boilerplate(spark.createDataFrame(pages, "page_id long, url string, body string"), html=None, text="body").collect()))
+    assert got == brute_lines(pages)
+    assert (8, "tie", 1, 1, "") in got  # 3 of 30 pages: exactly a tenth
+
+
 # -- licences
 
 
@@ -567,10 +592,22 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan_licenses(empty).count() == 0 and license_scan.scan_licenses(docs).count() == 0
     own = spark.createDataFrame([("long", " ".join(f"t{i}" for i in range(100))), ("none", ""), ("null", None)], "name string, text string")
     part = " ".join(f"t{i}" for i in range(10, 97))
-    got = license_scan.scan_licenses(spark.createDataFrame([(1, "a b c " + part)], "doc_id long, text string"), own, block=1).collect()
+    got = license_scan.scan_licenses(spark.createDataFrame([(1, "a b c " + part)], "doc_id long, text string"), own).collect()
     assert [(r.license, r.first_word, r.last_word) for r in got] == [("long", 3, 89)] and abs(got[0].containment - 83 / 96) < 1e-9
 
 
+@pytest.mark.parametrize("block", [1, 1000])
+def test_licenses_with_ties_equal_names_and_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(license_scan, "BLOCK", block)
+    notice = "permission to use this thing is given to all who read it with care"
+    own = spark.createDataFrame([("same", notice), ("same", notice.upper()), ("other", "you may not sell copies of this work to others"), ("prefix", "permission to use this thing is given")], "name string, text string")
+    long = " ".join(f"v{i}" for i in range(20000))
+    rows = [(1, f"{notice}. {notice}"), (1, f"{notice}. {notice}"), (None, f"{long} you may not sell copies of this work to others {long}"), (3, "permission to use another thing is given")]
+    got = Counter(map(tuple, license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), own).collect()))
+    n = len(notice.split())
+    assert got == Counter({(1, "same", n - 4, 1.0, 0, 2 * n - 1): 4, (1, "prefix", 3, 1.0, 0, 6): 2, (None, "other", 6, 1.0, 20000, 20009): 1})
+
+
 # -- sharding
 
 
