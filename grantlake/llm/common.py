@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +40,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Rows of an Arrow batch that a Python worker turns into objects at a time.
+SLICE = 512
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: a worker's memory is that of a batch's buffers and of a slice's objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def packed(docs: DataFrame) -> Column:
     """The row of docs as one struct, whose fields no name beside it can clash with."""
     return F.struct(*[docs[quoted(c)].alias(c) for c in docs.columns])

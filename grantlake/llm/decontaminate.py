@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, quoted
+from .common import Scratch, fresh, quoted, slices
 
 #: Words of one block of benchmark items, the most that is sent to executors at once (about 200 MB there). A larger benchmark goes block by block.
 BLOCK_WORDS = 1_000_000
@@ -100,7 +100,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
         sent, after = docs.sparkSession.sparkContext.broadcast(Windows(block, n)), next(todo, None)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 hits, found = [], []
                 for t, h, x in zip(b.column(place), b.column(b.num_columns - 2), b.column(b.num_columns - 1), strict=True):
                     words = normal_words(t.as_buffer().to_pybytes()) if t.is_valid else []
@@ -127,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     found = scan_benchmark(docs.select(docs[quoted(key)].alias("doc_id"), docs[quoted(text)].cast("string").alias("text")), benchmark, "doc_id", "text", item, n=n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             hits = [np.frombuffer(h.as_py(), np.bool_) for h in b.column(2)]
             items = b.column(3).to_pylist()
             words, hit = np.array([len(h) for h in hits], dtype=np.int64), np.array([int(h.sum()) for h in hits], dtype=np.int64)
@@ -152,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", n:
     place, spans = names.index(text), remove == "spans"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             hits = [np.frombuffer(h.as_py(), np.bool_) for h in b.column(b.num_columns - 2)]
             cols = list(b.columns[:-2])
             if spans:

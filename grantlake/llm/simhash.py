@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, quoted, slices
 from .components import components
 from .vptree import VPTree, block_masks, leaf_links
 
@@ -46,11 +46,11 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", n: in
     """(key, fp): a signed 64-bit fingerprint of each whole text, A-Z lower-cased. A null or empty text has fingerprint 0."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([simhash((t.as_buffer() or b"") and t.as_buffer().to_pybytes() if t.is_valid else b"", n) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["key", "fp"])
 
-    slim = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
+    slim = docs.select(docs[quoted(key)].alias("key"), docs[quoted(text)].cast("string").alias("text"))
     return slim.mapInArrow(of, f"key {slim.schema['key'].dataType.simpleString()}, fp long")
 
 

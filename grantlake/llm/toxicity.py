@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted
+from .common import quoted, slices
 
 #: Chosen by cross-validation within the training labels, as are WITNESS, RIDGE and ROUNDS (see cross_validate).
 SPAN, DECAY, BITS = 5, 0.7, 20
@@ -406,7 +406,7 @@ def score_documents(docs: DataFrame, machine: Machine, key: str = "doc_id", text
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             scores = sent.value([t or "" for t in b.column(1).to_pylist()])
             held = [zlib.crc32(str(k).encode()) % 5 == 0 if k is not None else False for k in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -420,7 +420,7 @@ def drop_toxic(docs: DataFrame, machine: Machine, text: str = "text", most: floa
     sent, place = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(sent.value([t or "" for t in b.column(place).to_pylist()]) < most))
 
     return docs.mapInArrow(keep, docs.schema)
