@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
+import json
+from collections import OrderedDict
 from collections.abc import Iterable, Mapping
 from dataclasses import replace
 
@@ -20,12 +21,16 @@ from ..refs import ObjectRef, SubjectRef
 from ..sources.scratch import Rounds
 from ..sources.store import TupleStore, admits
 from ..sources.universe import Universe
-from .verdicts import Algebra, Verdicts, and3
+from .verdicts import Algebra, Verdicts, and3, product
 
 SUBJECT = ["subject_type", "subject_id", "subject_relation"]
 RESULTS = {2: "HAS_PERMISSION", 1: "CONDITIONAL_PERMISSION", 0: "NO_PERMISSION"}
+#: Hops that are one plan, at first (the start among them) and later.
+FIRST_HOPS, HOPS = 3, 4
 #: Up to this many subjects given as values are also pushed into the scan as literals.
 LITERALS = 200
+#: Evaluations that an engine keeps.
+MEMO = 64
 
 
 def subject_key(kind: Column, ident: Column, relation: Column) -> Column:
@@ -53,6 +58,8 @@ class Engine:
         self.spark, self.schema, self.store, self.universe, self.now, self.config = spark, schema, store, universe or Universe(), now, config or Config()
         self.overlay: DataFrame | None = None
         self._caveated: set[tuple[str, str]] | None = None
+        self._memo: OrderedDict[tuple, Evaluation] = OrderedDict()
+        self._rounds: list[Rounds] = []
 
     def _copy(self, **changes) -> Engine:
         other = Engine(self.spark, self.schema, self.store, self.universe, self.now, self.config)
@@ -81,15 +88,39 @@ class Engine:
     def evaluate(self, subjects: DataFrame, context: Mapping | None = None, targets: Mapping[str, DataFrame] | None = None, literals: list[SubjectRef] | None = None) -> Evaluation:
         return Evaluation(self, subjects, context or {}, targets or {}, literals)
 
+    def evaluation(self, refs: Iterable[SubjectRef | str], context: Mapping | None = None) -> Evaluation:
+        """The evaluation for subjects given as values: kept, so that scope, gates and checks of one actor share what has been found.
+
+        MEMO evaluations are kept, those used last. Engines are immutable, so what is kept stays true; another
+        store, schema, overlay or time is another engine with nothing kept.
+        """
+        literals = [s if isinstance(s, SubjectRef) else SubjectRef.parse(s) for s in refs]
+        key = (frozenset(literals), json.dumps(dict(context or {}), sort_keys=True, default=str))
+        if key in self._memo:
+            self._memo.move_to_end(key)
+        else:
+            self._memo[key] = self.evaluate(self.subjects(literals), context, literals=literals)
+            if len(self._memo) > MEMO:
+                self._memo.popitem(last=False)
+        return self._memo[key]
+
+    def rounds(self) -> Rounds:
+        """A folder for the tables of a fixpoint, which clear() deletes."""
+        self._rounds.append(Rounds(self.spark))
+        return self._rounds[-1]
+
+    def clear(self) -> None:
+        """Forgets kept evaluations and deletes the tables of their rounds. Frames that this engine has given before can no longer be read."""
+        self._memo.clear()
+        for r in self._rounds:
+            r.drop()
+        self._rounds.clear()
+
     # -- the read API
 
     def accessible(self, subjects: DataFrame | Iterable[SubjectRef | str], action: str, kind: str, context: Mapping | None = None, conditional: bool = False) -> DataFrame:
         """(subject_type, subject_id, subject_relation, resource_id) of unconditional access (with conditional, any but no)."""
-        literals = None
-        if not isinstance(subjects, DataFrame):
-            literals = [s if isinstance(s, SubjectRef) else SubjectRef.parse(s) for s in subjects]
-            subjects = self.subjects(literals)
-        ev = self.evaluate(subjects, context, literals=literals)
+        ev = self.evaluate(subjects, context) if isinstance(subjects, DataFrame) else self.evaluation(subjects, context)
         rows = ev.rows(kind, action, spread=True)
         return rows.where(F.col("v") >= (1 if conditional else 2)).select(*subject_columns(), F.col("rid").alias("resource_id"))
 
@@ -156,9 +187,9 @@ class Engine:
         """Conditional counts as no."""
         return self.check(subject, action, resource, context)["allowed"]
 
-    def grants_all(self, subjects: DataFrame, action: str, kind: str) -> DataFrame:
+    def grants_all(self, subjects: DataFrame | Iterable[SubjectRef | str], action: str, kind: str) -> DataFrame:
         """subjects with grants_all: whether built-ins and constant hops alone, without any `-`, give them every object of the type."""
-        ev = self.evaluate(subjects)
+        ev = self.evaluate(subjects) if isinstance(subjects, DataFrame) else self.evaluation(subjects)
         whole = ev.static_whole(kind, action)
         out = ev.subjects
         if whole is None:
@@ -336,9 +367,13 @@ class Evaluation:
                 ids = sorted({s.id for s in self.literals} | {"*"})
                 edges = edges.where(F.col("si").isin(ids))
             who = self.subjects.select("skey", F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"))
-            if any(x.wildcard for x in rel.admits):
-                who = who.unionByName(who.where("sr = '' and si <> '*'").withColumn("si", F.lit("*")))
             found = edges.join(who, ["st", "si", "sr"]).select("skey", "rid", "v", *a.extra)
+            if wild := [x for x in rel.admits if x.wildcard]:
+                # the rows of everyone meet every subject of their type: a product for each type, not one hot key
+                public = self.edges(kind, rel, wild)
+                for t in dict.fromkeys(x.type for x in wild):
+                    everyone = who.where((F.col("st") == t) & (F.col("sr") == "") & (F.col("si") != "*")).select("skey")
+                    found = found.unionByName(product(public.where(F.col("st") == t), "rid", everyone).select("skey", "rid", "v", *a.extra))
             parts.append(Verdicts(a.merge(found, "skey", "rid")))
         for x in rel.admits:
             if not x.relation or not defined(self.schema, x.type, x.relation):
@@ -357,15 +392,14 @@ class Evaluation:
     def follow(self, edges: DataFrame, target: Verdicts) -> Verdicts:
         """Verdicts of the objects at the near end of edges, from those of the far end."""
         a, parts = self.algebra, []
-        e = edges.alias("e")
-        for df, join in ((target.rows, True), (target.whole, False)):
+        edges = edges.withColumnsRenamed({"rid": "near", "v": "ev", "m": "em"})
+        for df, whole in ((target.rows, False), (target.whole, True)):
             if df is None:
                 continue
-            t = df.alias("t")
-            j = e.join(t, F.col("e.si") == F.col("t.rid")) if join else e.crossJoin(t)
-            v = and3(F.col("e.v"), F.col("t.v")).alias("v")
-            m = [F.array_sort(F.array_distinct(F.concat("e.m", "t.m"))).alias("m")] if a.conditional else []
-            parts.append(j.select(F.col("t.skey").alias("skey"), F.col("e.rid").alias("rid"), v, *m))
+            j = product(edges, "near", df) if whole else edges.join(df, edges["si"] == df["rid"])
+            v = and3(F.col("ev"), F.col("v")).alias("v")
+            m = [F.array_sort(F.array_distinct(F.concat("em", "m"))).alias("m")] if a.conditional else []
+            parts.append(j.select("skey", F.col("near").alias("rid"), v, *m))
         return Verdicts(a.merge(a.stack(*parts), "skey", "rid")) if parts else Verdicts()
 
     def expr(self, kind: str, expr: Expr, env: Mapping, delta: Mapping | None) -> Verdicts:
@@ -415,51 +449,71 @@ class Evaluation:
     # -- recursion
 
     def fixpoint(self, scc: list[tuple[str, str]]) -> None:
-        """The least fixpoint of a component, round by round: only verdicts that are new or better go on.
+        """The least fixpoint of a component: only verdicts that are new or better go on.
 
-        Keys and verdicts are finite, so it ends even on cyclic data. Each round is a written table. What
-        is found in round n is n hops away; beyond max_hops the setting decides.
+        Several hops are one plan, and their new verdicts one written table for the whole component, so a chain of n hops costs n / HOPS
+        jobs or so. Keys and verdicts are finite, so it ends even on cyclic data. Each row knows how many hops away it was first found;
+        beyond max_hops the setting decides.
         """
         self.stratified(scc)
-        self.rounds = self.rounds or Rounds(self.engine.spark)
+        self.rounds = self.rounds or self.engine.rounds()
         found: dict[tuple[str, str], list[Verdicts]] = {at: [] for at in scc}
-        env = {**self.memo, **{at: Verdicts() for at in scc}}
-        fresh = {at: self.rule(at, env, None) for at in scc}
-        for n in itertools.count():
-            delta = {}
-            for at, v in fresh.items():
-                rows = self.better(v.rows, [x.rows for x in found[at]], ["skey", "rid"], at, n)
-                whole = self.better(v.whole, [x.whole for x in found[at]], ["skey"], at, n)
-                if rows is not None or whole is not None:
-                    delta[at] = Verdicts(rows, whole)
-            if not delta:
+        delta, first, most = None, 0, self.engine.config.max_hops
+        while True:
+            last = first + (FIRST_HOPS if delta is None else HOPS) - 1
+            env = {**self.memo, **{at: self.total(found[at]) for at in scc}}
+            fresh = {at: self.rule(at, env, delta) for at in scc}
+            new: dict[tuple[str, str], list[Verdicts]] = {at: [] for at in scc}
+            for hop in range(first, last + 1):
+                for at, v in fresh.items():
+                    new[at].append(Verdicts(*(df and df.withColumn("hop", F.lit(hop)) for df in (v.rows, v.whole))))
+                step = {at: v for at, v in fresh.items() if v.rows is not None or v.whole is not None}
+                if hop == last or not step:
+                    break
+                env = {**env, **{at: self.algebra.union(*(x for x in (env[at], v) if x.rows is not None or x.whole is not None)) for at, v in step.items()}}
+                fresh = {at: self.rule(at, env, step) for at in scc}
+            parts = [(at, whole, df) for at in scc for whole, df in ((False, self.better([v.rows for v in new[at]], [v.rows for v in found[at]], "skey", "rid")), (True, self.better([v.whole for v in new[at]], [v.whole for v in found[at]], "skey"))) if df is not None]
+            if not parts:
                 break
-            if n > self.engine.config.max_hops:
+            saved, counts = self.materialise(parts, "-".join(at[1] for at in scc), last, most)
+            if any(c["over"] for c in counts.values()):
                 if self.engine.config.on_exceed == "raise":
-                    raise DepthExceeded(f"{', '.join(f'{t}#{x}' for t, x in scc)}: more than {self.engine.config.max_hops} hops")
+                    raise DepthExceeded(f"{', '.join(f'{t}#{x}' for t, x in scc)}: more than {most} hops")
+                saved = saved.where(F.col("hop") <= most)
+            delta = {}
+            for at in scc:
+                mine = {whole: saved.where(F.col("part") == i).drop("part", *(["rid"] if whole else [])) for i, (a, whole, _) in enumerate(parts) if a == at and i in counts}
+                if mine:
+                    found[at].append(Verdicts(*(df and df.drop("hop") for df in (mine.get(False), mine.get(True)))))
+                    # what was found before the last hop has gone on already, unless another verdict may come of it
+                    delta[at] = Verdicts(*(df and (df if self.algebra.conditional else df.where(F.col("hop") == last)).drop("hop") for df in (mine.get(False), mine.get(True))))
+            if last >= most and self.engine.config.on_exceed != "raise" or not any(c["last"] for c in counts.values()):
                 break
-            for at, v in delta.items():
-                found[at].append(v)
-            env = {**self.memo, **{at: self.total(found[at]) for at in scc}}
-            fresh = {at: self.rule(at, env, delta) for at in scc}
+            first = last + 1
         for at in scc:
             self.memo[at] = self.total(found[at])
 
     def total(self, parts: list[Verdicts]) -> Verdicts:
         return self.algebra.union(*parts) if parts else Verdicts()
 
-    def better(self, new: DataFrame | None, old: list[DataFrame | None], keys: list[str], at: tuple[str, str], n: int) -> DataFrame | None:
-        """The part of new that is not in old or exceeds it, written; None if there is none."""
-        if new is None:
-            return None
+    def better(self, new: list[DataFrame | None], old: list[DataFrame | None], *keys: str) -> DataFrame | None:
+        """The part of new (with hop) that is not in old or exceeds it, one row a key."""
+        new = self.algebra.merge(self.algebra.stack(*new), *keys, also=(F.min("hop").alias("hop"),))
         before = self.algebra.stack(*old)
-        if before is not None and not self.algebra.conditional:
-            new = new.join(before.select(*keys), keys, "left_anti")
-        elif before is not None:
-            was = self.algebra.merge(before, *keys).select(*keys, F.col("v").alias("_v"), F.col("m").alias("_m"))
-            new = new.join(was, keys, "left").where(F.col("_v").isNull() | (F.col("v") > F.col("_v")) | ((F.col("v") == 1) & (F.col("_v") == 1) & (F.size(F.array_except("m", "_m")) > 0))).drop("_v", "_m")
-        saved = self.rounds.save(new, f"{at[1]}-{n}")
-        return saved if saved.limit(1).count() else None
+        if new is None or before is None:
+            return new
+        if not self.algebra.conditional:
+            return new.join(before.select(*keys), list(keys), "left_anti")
+        was = self.algebra.merge(before, *keys).select(*keys, F.col("v").alias("_v"), F.col("m").alias("_m"))
+        return new.join(was, list(keys), "left").where(F.col("_v").isNull() | (F.col("v") > F.col("_v")) | ((F.col("v") == 1) & (F.col("_v") == 1) & (F.size(F.array_except("m", "_m")) > 0))).drop("_v", "_m")
+
+    def materialise(self, parts: list[tuple], name: str, last: int, most: int) -> tuple[DataFrame, dict[int, dict]]:
+        """The written table of the parts (part, skey, rid, v[, m], hop) and, for each part that has rows, how many are of the last hop and over the most."""
+        rid = lambda whole: F.lit(None).cast("string").alias("rid") if whole else F.col("rid")
+        stacked = self.algebra.stack(*[df.select(F.lit(i).alias("part"), "skey", rid(whole), "v", *self.algebra.extra, "hop") for i, (_, whole, df) in enumerate(parts)])
+        saved = self.rounds.save(stacked, name)
+        counts = saved.groupBy("part").agg(F.count_if(F.col("hop") == last).alias("last"), F.count_if(F.col("hop") > most).alias("over")).collect()  # a row a part
+        return saved, {r["part"]: r.asDict() for r in counts}
 
     def stratified(self, scc: list[tuple[str, str]]) -> None:
         members = set(scc)

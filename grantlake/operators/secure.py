@@ -108,7 +108,7 @@ class SecuredFrame:
         """The rows in scope, all columns as they are."""
         if self._open():
             return self.df
-        if self.engine.grants_all(self.engine.subjects([self.actor]), self.action, self.type).first()["grants_all"]:
+        if self.engine.grants_all([self.actor], self.action, self.type).first()["grants_all"]:
             return self.df
         ids = self.allowed_ids()
         return self.df.join(ids, self._key() == ids["_rid"], "left_semi")

@@ -48,13 +48,13 @@ class Algebra:
         self.conditional = conditional
         self.extra = ["m"] if conditional else []
 
-    def merge(self, df: DataFrame | None, *keys: str) -> DataFrame | None:
-        """One row a key: the greatest verdict, with the names of all derivations if it is conditional."""
+    def merge(self, df: DataFrame | None, *keys: str, also: tuple[Column, ...] = ()) -> DataFrame | None:
+        """One row a key: the greatest verdict, with the names of all derivations if it is conditional; also: more aggregates."""
         if df is None:
             return None
         if not self.conditional:
-            return df.groupBy(*keys).agg(F.max("v").alias("v"))
-        out = df.groupBy(*keys).agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("v") == 1, F.col("m")))))).alias("m"))
+            return df.groupBy(*keys).agg(F.max("v").alias("v"), *also)
+        out = df.groupBy(*keys).agg(F.max("v").alias("v"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("v") == 1, F.col("m")))))).alias("m"), *also)
         return out.withColumn("m", F.when(F.col("v") == 1, F.col("m")).otherwise(F.array().cast("array<string>")))
 
     def stack(self, *dfs: DataFrame | None) -> DataFrame | None:
@@ -109,4 +109,16 @@ class Algebra:
 
     def spread(self, whole: DataFrame, ids: DataFrame) -> DataFrame:
         """whole as rows over ids: the answer itself is that large. whole has a row a requested subject."""
-        return ids.crossJoin(whole).select("skey", "rid", "v", *self.extra)
+        return product(ids, "rid", whole).select("skey", "rid", "v", *self.extra)
+
+
+#: Parts that the larger side of a product is dealt to.
+PARTS = 32
+
+
+def product(large: DataFrame, by: str, small: DataFrame) -> DataFrame:
+    """Every row of large with every row of small, where the answer is that large: an ordinary join on a part number, which a hash of `by` deals
+    large to and which small holds all of. No task gets all of large, and Spark sends small to all if it is small enough."""
+    dealt = large.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    copies = small.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return dealt.join(copies, "_part").drop("_part")

@@ -21,7 +21,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Rounds:
-    """Tables of the rounds of a fixpoint: a round's are dropped once the next are written."""
+    """Tables of the rounds of fixpoints, in a folder of their own. Frames that read them need them, so they stay until drop()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{scratch_root(spark)}/rounds-{uuid.uuid4().hex}", 0
@@ -31,3 +31,12 @@ class Rounds:
         path = f"{self.base}/{self.n:04d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        delete(self.spark, self.base)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
