@@ -17,8 +17,8 @@ from .vptree import VPTree, block_masks, leaf_links
 
 #: Fingerprints that a forest is fitted on, at most (24 MB on the driver); every fingerprint is indexed.
 SAMPLE = 3 << 20
-#: Fingerprints that a leaf aims at, border points included, and the most that a task compares.
-LEAF_SIZE, TASK_SIZE = 1 << 15, 1 << 18
+#: The share of all fingerprints that a leaf aims at, border points included, and how many at most; the most that a task compares.
+LEAF_SHARE, LEAF_SIZE, TASK_SIZE = 1 / 8, 1 << 17, 1 << 19
 #: Up to so many fingerprints trees have a radius: beyond, a ball around a block's value holds more than a leaf should.
 WITH_RADIUS = 1 << 29
 SEED = 42
@@ -58,18 +58,19 @@ def forest(sample: np.ndarray, n: int, within: int) -> list[VPTree]:
     """Trees for n fingerprints. No setting loses a pair.
 
     There are fewer blocks of bits than differences, so near pairs are within a radius in one of them, and points near a
-    boundary visit every shard that it parts. Only with very many fingerprints are there more
+    boundary visit every shard that it parts. Leaves hold a fixed share, so rows grow with the fingerprints, until
+    that is too much for a task; from there on copies of a point grow to as many as there are values within the radius, some 20 a tree. Only with very many fingerprints are there more
     blocks than differences and unions of them as masks, on which near pairs agree.
     """
     small = max(1, (within + 2) // 2)  # a radius of 1 in one of so many blocks
     blocks = small if n <= WITH_RADIUS else next((m for m in (within + 1, within + 2, within + 4) if n >> (64 * (m - within) // m) <= 1 << 11), within + 4)
-    leaf = max(8, len(sample) * LEAF_SIZE // max(n, 1))
+    leaf = max(8, int(len(sample) * min(LEAF_SHARE, LEAF_SIZE / max(n, 1))))
     return [VPTree.build(sample, mask, radius, leaf) for mask, radius in block_masks(blocks, within)]
 
 
 def sample_size(n: int) -> int:
-    """So many that a leaf has some 16 of them."""
-    return min(SAMPLE, max(1 << 14, 16 * n // LEAF_SIZE))
+    """So many that a leaf has some 64 of them."""
+    return min(SAMPLE, max(1 << 14, 64 * n // LEAF_SIZE))
 
 
 def links(classes: DataFrame, scratch: Scratch, within: int) -> DataFrame:

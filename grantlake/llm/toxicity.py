@@ -35,7 +35,7 @@ GAPS = [(a, b, DECAY ** (b + 1)) for a, b in combinations(range(1, SPAN), 2)]
 #: A longer word is scored piece by piece, pieces overlapping by half.
 PIECE = 48
 #: Documents of each label that the machine is fitted on, and characters of them, at most: the first by a hash of key and text. Landmarks.
-SAMPLE, SAMPLE_CHARS, LANDMARKS = 2000, 16_000_000, 480
+SAMPLE, SAMPLE_CHARS, LANDMARKS = 2000, 10_000_000, 320
 #: Documents of the usual mix that hold ratios down; the share of clean documents whose highest window a text's first witness must exceed, and a further one; how strongly weights are held; rounds.
 HOLD, WITNESS, STRICT, RIDGE, ROUNDS = 10.0, 0.3, 0.9, 5e-2, 4
 #: What a first witness must come to in later rounds (a further one must be accepted); the weight of witnesses to that of other windows.
@@ -134,7 +134,7 @@ class Stream:
             last = np.maximum(self.end - b + 1, self.start)
             total += weight * (run[np.minimum(last, len(code))] - run[np.minimum(self.start, len(code))])
             square += weight * weight * (last - self.start)
-        return total / np.sqrt(np.maximum(square, 1e-9))
+        return (total / np.sqrt(np.maximum(square, 1e-9))).astype(np.float32)
 
     def text(self, i: int) -> str:
         return self.points[self.start[i] : self.end[i] + 1].tobytes().decode("utf-32-le", "surrogatepass")
@@ -178,7 +178,7 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     w, bias, total, last = np.zeros(n), 0.0, weight.sum(), None
     held = np.diag([*[ridge / len(x) ** 0.5] * n, 1e-9])
     for _ in range(rounds):
-        inside = np.nonzero(y * (x @ w + bias) < 1)[0]
+        inside = np.nonzero(y * (x @ w.astype(x.dtype) + bias) < 1)[0]
         if last is not None and np.array_equal(inside, last):
             break
         last, gram, right = inside, held.copy(), np.zeros(n + 1)
@@ -341,11 +341,12 @@ def learn(bags: Iterable[tuple[int, str]], share: float, rounds: int = ROUNDS, s
             project = vectors[:, kept] / np.sqrt(values[kept])  # Nystrom: K(w, landmarks) @ project
         x = kernel([w for w, _ in order], marks) @ project.astype(np.float32)
         w, bias = squared_hinge(x, y, weight, ridge)
+        del x
         table = np.zeros(1 << BITS)
         for alpha, (c, v) in zip(project @ w, profiles(marks), strict=True):
             table[c] += alpha * v
         machine = Machine(table.astype(np.float32), bias, np.zeros(TOP + 1))
-        score, level = [s.sums(machine.table) + bias for s in streams], floor
+        score, level = [s.sums(machine.table) + np.float32(bias) for s in streams], floor
         strict = 0.0
     if machine is None:
         return learn([b for b in bags if not b[0]], share)
