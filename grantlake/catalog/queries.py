@@ -16,7 +16,8 @@ from ..plans.compose import Override, compose
 from ..plans.introspect import permission_sources, roles_reaching
 from ..plans.printer import expression_text
 from ..refs import ObjectRef
-from ..sources.store import KEY, TupleStore, target_column, token
+from ..sources.store import KEY, TupleStore, target_column
+from ..sources.versions import token
 from .world import World
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -29,11 +29,13 @@ class Config:
     audit_denials: bool = False
     consistency: str = "minimize_latency"
     usersets_are_relations_only: bool = False
+    caveat_errors: str = "deny"
+    superuser_bypass: bool = False
 
     def problems(self) -> list[str]:
         """What is wrong with the settings."""
         out = []
-        for name, allowed in (("on_exceed", ("raise", "truncate")), ("storage", STORAGE_MODES), ("redact_mode", REDACT_MODES), ("consistency", CONSISTENCY)):
+        for name, allowed in (("on_exceed", ("raise", "truncate")), ("storage", STORAGE_MODES), ("redact_mode", REDACT_MODES), ("consistency", CONSISTENCY), ("caveat_errors", ("deny", "raise"))):
             if getattr(self, name) not in allowed:
                 out.append(f"{name} must be one of {', '.join(allowed)}, not {getattr(self, name)!r}")
         if self.max_hops < 1:

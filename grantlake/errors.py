@@ -27,3 +27,7 @@ class MissingActor(AuthzError):
 
 class UnscopedNotAllowed(AuthzError):
     """A bypass that the configuration forbids or that gives no reason."""
+
+
+class StoreBehind(AuthzError):
+    """The store has not seen the version that a read asks for."""

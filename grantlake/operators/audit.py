@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import target_column
+from .actors import current_actor
 
 SCHEMA = "kind string, actor_type string, actor_id string, target string, before string, after string, reason string, occurred_at timestamp"
 
@@ -36,3 +37,36 @@ def denials(checked: DataFrame, at: str | None = None) -> DataFrame:
 
 def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
+
+
+class Trail:
+    """The audit trail in a folder. Stores note grants and revokes in it, engines denials (if the configuration says so), frames bypasses."""
+
+    def __init__(self, spark, path: str, actor: tuple[str, str] = ("", ""), reason: str = "", at: str | None = None):
+        self.spark, self.path, self.actor, self.reason, self.at = spark, path, actor, reason, at
+
+    def by(self, actor: tuple[str, str], reason: str = "") -> Trail:
+        """The same folder, for another actor."""
+        return Trail(self.spark, self.path, actor, reason, self.at)
+
+    def granted(self, tuples: DataFrame) -> None:
+        append(events(tuples, "grant", self._who(), self.reason, self.at), self.path)
+
+    def revoked(self, tuples: DataFrame) -> None:
+        append(events(tuples, "revoke", self._who(), self.reason, self.at), self.path)
+
+    def denied(self, checked: DataFrame) -> None:
+        append(denials(checked, self.at), self.path)
+
+    def bypass(self, actor, reason: str) -> None:
+        who = (actor.type, actor.id) if actor else self._who()
+        row = self.spark.createDataFrame([("bypass", *who, "", reason)], "kind string, actor_type string, actor_id string, target string, reason string")
+        none = F.lit(None).cast("string")
+        append(row.select("kind", "actor_type", "actor_id", "target", none.alias("before"), none.alias("after"), "reason", (F.lit(self.at).cast("timestamp") if self.at else F.current_timestamp()).alias("occurred_at")), self.path)
+
+    def _who(self) -> tuple[str, str]:
+        ref = current_actor()
+        return (ref.type, ref.id) if ref and not any(self.actor) else self.actor
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(self.path)

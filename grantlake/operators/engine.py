@@ -10,8 +10,8 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config
-from ..errors import DepthExceeded, SchemaError
+from ..config import CONSISTENCY, Config
+from ..errors import DepthExceeded, SchemaError, StoreBehind
 from ..functions import cel
 from ..plans.ast import BUILTINS, Combine, Expr, Hop, Name, Nothing, Relation, Schema, leaves
 from ..plans.introspect import components, defined, dependencies, reachable
@@ -21,6 +21,7 @@ from ..refs import ObjectRef, SubjectRef
 from ..sources.scratch import Rounds
 from ..sources.store import TupleStore, admits
 from ..sources.universe import Universe
+from ..sources.versions import current_version, read_token
 from .verdicts import Algebra, Verdicts, and3, product
 
 SUBJECT = ["subject_type", "subject_id", "subject_relation"]
@@ -31,15 +32,21 @@ FIRST_HOPS, HOPS = 3, 4
 LITERALS = 200
 #: Evaluations that an engine keeps.
 MEMO = 64
+#: A store so many times as large as the requests is narrowed first.
+NARROW = 1000
 
 
 def subject_key(kind: Column, ident: Column, relation: Column) -> Column:
     return F.concat(kind, F.lit(":"), ident, F.lit("#"), relation)
 
 
+#: Stands between a subject and the JSON context of its request in a key.
+WITH = "\u0001"
+
+
 def subject_columns() -> list[Column]:
     """The subject columns back from a key: types have no colon and relations no hash sign."""
-    key = F.col("skey")
+    key = F.substring_index(F.col("skey"), WITH, 1)
     kind, relation = F.substring_index(key, ":", 1), F.substring_index(key, "#", -1)
     ident = F.substr(key, F.length(kind) + 2, F.length(key) - F.length(kind) - F.length(relation) - 2)
     return [c.alias(n) for c, n in zip((kind, ident, relation), SUBJECT, strict=True)]
@@ -56,6 +63,11 @@ class Engine:
         if problems:
             raise SchemaError("; ".join(problems))
         self.spark, self.schema, self.store, self.universe, self.now, self.config = spark, schema, store, universe or Universe(), now, config or Config()
+        problems = self.config.problems()
+        if self.universe.tables and self.universe.prefix != self.config.type_prefix:
+            problems.append(f"the universe's types begin with {self.universe.prefix!r}, the configuration's with {self.config.type_prefix!r}")
+        if problems:
+            raise SchemaError("; ".join(problems))
         self.overlay: DataFrame | None = None
         self._caveated: set[tuple[str, str]] | None = None
         self._memo: OrderedDict[tuple, Evaluation] = OrderedDict()
@@ -71,6 +83,32 @@ class Engine:
     def as_of(self, version: int) -> Engine:
         return self._copy(store=self.store.as_of(version))
 
+    @property
+    def trail(self):
+        """Where denials and bypasses are noted: the store's trail, if it has one."""
+        return self.store.trail
+
+    def reading(self, token: str | None = None, consistency: str | None = None) -> Engine:
+        """The engine for reads that must have seen a token's version.
+
+        What is given wins; else a token that this piece of work has written (version_scope) counts as
+        at_least_as_fresh; else the configuration's consistency. at_least_as_fresh and fully_consistent need a store that has
+        seen the version (StoreBehind if not), at_exact_snapshot reads as of it (only then are later writes passed over).
+        """
+        if token is None and consistency is None and current_version():
+            token, consistency = current_version(), "at_least_as_fresh"
+        consistency = consistency or ("at_least_as_fresh" if token else self.config.consistency)
+        version = read_token(token) if token else None
+        if consistency == "at_exact_snapshot":
+            if version is None:
+                raise ValueError("an exact snapshot needs a token")
+            return self.as_of(version)
+        if consistency not in CONSISTENCY:
+            raise ValueError(f"consistency must be one of {', '.join(CONSISTENCY)}, not {consistency!r}")
+        if version is not None and consistency != "minimize_latency" and self.store.high_watermark() < version:
+            raise StoreBehind(f"the store has not seen {token}")
+        return self
+
     def with_overlay(self, edges: DataFrame) -> Engine:
         """Virtual tuples beside the stored ones, without caveats; they may also stand for column-backed edges."""
         return self._copy(overlay=edges)
@@ -118,27 +156,38 @@ class Engine:
 
     # -- the read API
 
-    def accessible(self, subjects: DataFrame | Iterable[SubjectRef | str], action: str, kind: str, context: Mapping | None = None, conditional: bool = False) -> DataFrame:
-        """(subject_type, subject_id, subject_relation, resource_id) of unconditional access (with conditional, any but no)."""
+    def accessible(self, subjects: DataFrame | Iterable[SubjectRef | str], action: str, kind: str, context: Mapping | None = None, conditional: bool = False, token: str | None = None, consistency: str | None = None) -> DataFrame:
+        """(subject_type, subject_id, subject_relation, resource_id) of unconditional access (with conditional, any but no). token, consistency: see reading()."""
+        if (at := self.reading(token, consistency)) is not self:
+            return at.accessible(subjects, action, kind, context, conditional, consistency="minimize_latency")
         ev = self.evaluate(subjects, context) if isinstance(subjects, DataFrame) else self.evaluation(subjects, context)
         rows = ev.rows(kind, action, spread=True)
         return rows.where(F.col("v") >= (1 if conditional else 2)).select(*subject_columns(), F.col("rid").alias("resource_id"))
 
-    def bulk_check(self, requests: DataFrame, context: Mapping | None = None) -> DataFrame:
+    def bulk_check(self, requests: DataFrame, context: Mapping | None = None, context_column: str | None = None, narrow: bool | None = None, token: str | None = None, consistency: str | None = None) -> DataFrame:
         """requests with verdict, allowed, result, conditional_on and reason appended.
 
         requests: subject_type, subject_id, subject_relation, action, resource_type, resource_id and whatever
         else. One plan a (resource_type, action) serves all requests of it. An empty resource_id asks
-        whether any object would do (yes or no, never conditional).
+        whether any object would do (yes or no, never conditional). context holds for all requests;
+        context_column names a column of JSON with each request's own, which wins over it.
+        narrow: first follow the edges up from the requested objects, so that only edges of objects that may matter are read and the cost goes with the
+        requests; by default if the store is NARROW times as large as the requests, by the planner's estimate.
         """
+        if (at := self.reading(token, consistency)) is not self:
+            return at.bulk_check(requests, context, context_column, narrow, consistency="minimize_latency")
         pairs = [tuple(r) for r in requests.select("resource_type", "action").distinct().collect()]
         skey = subject_key(*[F.col(c) for c in SUBJECT])
+        if context_column:
+            skey = F.concat(skey, F.lit(WITH), F.coalesce(F.col(context_column).cast("string"), F.lit("{}")))
         asked = requests.withColumn("skey", skey)
         known = [(t, a) for t, a in sorted(pairs, key=str) if defined(self.schema, t, a)]
         kinds = {t for t, _ in known}
         targets = {t: requests.where(F.col("resource_type") == t).select(F.col("resource_id").alias("rid")).distinct() for t in kinds}
         models = requests.where(F.col("resource_id") == "").limit(1).count() > 0 if known else False
-        ev = self.evaluate(requests.select(*SUBJECT).distinct(), context, {} if models else targets)
+        ev = self.evaluate(asked.select("skey", *SUBJECT).distinct(), context, {} if models else targets)
+        if not models and known and (estimate(self.store.df) > NARROW * estimate(requests) if narrow is None else narrow):
+            ev.narrow(known)
         rows = whole = None
         for t, a in known:
             ev.prepare(t, a)
@@ -174,14 +223,17 @@ class Engine:
         reason = F.when(~F.col("resource_type").isin(types), "unknown resource type").when(~okay, "unknown action").otherwise("")
         out = out.withColumn("verdict", v)
         result = F.when(F.col("verdict") == 2, RESULTS[2]).when(F.col("verdict") == 1, RESULTS[1]).otherwise(RESULTS[0])
-        return out.select(*requests.columns, "verdict", (F.col("verdict") == 2).alias("allowed"), result.alias("result"), F.when(F.col("verdict") == 1, names).otherwise(none).alias("conditional_on"), reason.alias("reason"))
+        out = out.select(*requests.columns, "verdict", (F.col("verdict") == 2).alias("allowed"), result.alias("result"), F.when(F.col("verdict") == 1, names).otherwise(none).alias("conditional_on"), reason.alias("reason"))
+        if self.config.audit_denials and self.trail:
+            self.trail.denied(out)
+        return out
 
-    def check(self, subject: SubjectRef | str, action: str, resource: ObjectRef | str, context: Mapping | None = None):
+    def check(self, subject: SubjectRef | str, action: str, resource: ObjectRef | str, context: Mapping | None = None, token: str | None = None, consistency: str | None = None):
         """One request as a row (verdict, allowed, result, conditional_on, reason). Ask in bulk for more than a few."""
         s = subject if isinstance(subject, SubjectRef) else SubjectRef.parse(subject)
         r = resource if isinstance(resource, ObjectRef) else ObjectRef.parse(resource)
         request = self.spark.createDataFrame([(s.type, s.id, s.relation, action, r.type, r.id)], ", ".join(f"{c} string" for c in (*SUBJECT, "action", "resource_type", "resource_id")))
-        return self.bulk_check(request, context).first()
+        return self.bulk_check(request, context, token=token, consistency=consistency).first()
 
     def has_access(self, subject, action: str, resource, context: Mapping | None = None) -> bool:
         """Conditional counts as no."""
@@ -243,7 +295,9 @@ class Evaluation:
 
     def __init__(self, engine: Engine, subjects: DataFrame, context: Mapping, targets: Mapping[str, DataFrame], literals: list[SubjectRef] | None):
         self.engine, self.schema, self.context, self.targets, self.literals = engine, engine.schema, context, targets, literals
-        self.subjects = subjects.select(subject_key(*[F.col(c) for c in SUBJECT]).alias("skey"), *SUBJECT)
+        self.subjects = subjects if "skey" in subjects.columns else subjects.select(subject_key(*[F.col(c) for c in SUBJECT]).alias("skey"), *SUBJECT)
+        self.own_context = "skey" in subjects.columns
+        self.narrowed = False
         self.memo: dict[tuple[str, str], Verdicts] = {}
         self.algebra = Algebra(False)
         self.rounds: Rounds | None = None
@@ -309,19 +363,72 @@ class Evaluation:
             e = engine.store.df.where((F.col("resource_type") == kind) & (F.col("relation") == rel.name) & test)
             if engine.now is not None:
                 e = e.where(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(engine.now).cast("timestamp_ntz")))
-            v, m = self.tuple_verdict(kind, rel.name)
-            parts.append(e.select(F.col("resource_id").alias("rid"), F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"), v.alias("v"), *([m.alias("m")] if extra else [])).where("v > 0"))
+            if self.waits(kind, rel.name):  # until the request is known
+                v, m = yes, F.array().cast("array<string>")
+            else:
+                v, m = self.tuple_verdict(kind, rel.name, None)
+            waiting = ["caveat_name", "caveat_context"] if self.waits(kind, rel.name) else []
+            parts.append(e.select(F.col("resource_id").alias("rid"), F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"), v.alias("v"), *([m.alias("m")] if extra else []), *waiting).where("v > 0"))
         if engine.overlay is not None:
             test = F.lit(False)
             for a in only or rel.admits:
                 test = test | admits(a)
             o = engine.overlay.where((F.col("resource_type") == kind) & (F.col("relation") == rel.name) & test)
-            parts.append(o.select(F.col("resource_id").alias("rid"), F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"), yes, *extra))
+            waiting = [F.lit("").alias("caveat_name"), F.lit(None).cast("string").alias("caveat_context")] if self.waits(kind, rel.name) else []
+            parts.append(o.select(F.col("resource_id").alias("rid"), F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"), yes, *extra, *waiting))
         out = self.algebra.stack(*parts)
-        if out is not None and kind in self.targets and self.is_top(kind):
+        if out is not None and kind in self.targets and (self.narrowed or self.is_top(kind)):
             out = out.join(self.targets[kind], "rid", "left_semi")
         return out
 
+    def waits(self, kind: str, relation: str) -> bool:
+        """Whether a relation's caveats are judged once an edge has met a request, as each has a context of its own."""
+        return self.own_context and (kind, relation) in self.engine.caveated()
+
+    def settle(self, joined: DataFrame, kind: str, relation: str, v: str, m: str) -> DataFrame:
+        """joined, edges with the requests' keys, with the verdicts of caveats that waited for them."""
+        if not self.waits(kind, relation):
+            return joined
+        cv, cm = self.tuple_verdict(kind, relation, F.substring_index(F.col("skey"), WITH, -1))
+        return joined.withColumns({"_cv": cv, "_cm": cm}).withColumns({v: F.least(F.col(v), F.col("_cv")), m: F.array_distinct(F.concat(F.col(m), F.col("_cm")))}).where(F.col(v) > 0).drop("_cv", "_cm", "caveat_name", "caveat_context")
+
+    def narrow(self, asked: list[tuple[str, str]]) -> None:
+        """Makes targets of all types in reach: the requested objects and, following edges up, those whose verdicts theirs may come from.
+
+        A fixpoint of its own, HOPS hops a written table, as far as the hops that count go. Only ids are kept.
+        """
+        links, consts = {}, set()
+        for t, n in dict.fromkeys(x for at in asked for x in reachable(self.schema, *at)):
+            d = self.schema.definition(t)
+            if rel := d.relation(n):
+                links |= {(t, rel.name, x, x.type): None for x in rel.admits if x.relation and not rel.backing and defined(self.schema, x.type, x.relation)}
+            for x in leaves(d.permission(n).expr) if d.permission(n) else ():
+                if isinstance(x, Hop) and (via := d.relation(x.via)):
+                    if via.backing and via.backing.kind == "const":
+                        consts.add((via.admits[0].type, via.backing.value))
+                    else:
+                        links |= {(t, via.name, a, a.type): None for a in via.admits if defined(self.schema, a.type, x.target)}
+        self.rounds = self.rounds or self.engine.rounds()
+        start = [ids.select(F.lit(t).alias("kind"), "rid") for t, ids in self.targets.items()]
+        if consts:
+            start.append(self.engine.spark.createDataFrame(sorted(consts), "kind string, rid string"))
+        self.targets = {}
+        seen = self.rounds.save(self.algebra.stack(*start).distinct(), "asked")
+        fresh, hops = seen, 0
+        while hops <= self.engine.config.max_hops and links:
+            steps, at = [], fresh
+            for _ in range(HOPS):
+                found = [self.edges(t, self.schema.definition(t).relation(n), [x]).join(at.where(F.col("kind") == t).select("rid"), "rid", "left_semi").select(F.lit(to).alias("kind"), F.col("si").alias("rid")) for t, n, x, to in links]
+                at = self.algebra.stack(*found).distinct()
+                steps.append(at)
+            new = self.algebra.stack(*steps).distinct().join(seen, ["kind", "rid"], "left_anti")
+            fresh, hops = self.rounds.save(new, "reached"), hops + HOPS
+            if not fresh.limit(1).count():
+                break
+            seen = seen.unionByName(fresh)
+        kinds = {t for at in asked for t, _ in reachable(self.schema, *at)}
+        self.targets, self.narrowed = {t: seen.where(F.col("kind") == t).select("rid") for t in kinds}, True
+
     def is_top(self, kind: str) -> bool:
         """Whether no hop or user set leads into the type, so that only requested objects of it matter."""
         for d in self.schema.definitions:
@@ -333,14 +440,14 @@ class Evaluation:
                         return False
         return True
 
-    def tuple_verdict(self, kind: str, relation: str) -> tuple[Column, Column]:
-        """A tuple's own verdict: 2 without a caveat, 0 with an unknown one."""
+    def tuple_verdict(self, kind: str, relation: str, request: Column | None) -> tuple[Column, Column]:
+        """A tuple's own verdict: 2 without a caveat, 0 with an unknown one. request: the JSON context of a request, where each has its own."""
         none = F.array().cast("array<string>")
         if (kind, relation) not in self.engine.caveated():
             return F.lit(2).cast("tinyint") if self.schema.caveats else F.when(F.col("caveat_name") == "", 2).otherwise(0).cast("tinyint"), none
         v, m = F.when(F.col("caveat_name") == "", F.lit(2).cast("tinyint")), F.when(F.col("caveat_name") == "", none)
         for c in self.schema.caveats:
-            cv, cm = cel.verdict(c, F.col("caveat_context"), self.context)
+            cv, cm = cel.verdict(c, F.col("caveat_context"), self.context, request, self.engine.config.caveat_errors)
             v, m = v.when(F.col("caveat_name") == c.name, cv), m.when(F.col("caveat_name") == c.name, cm)
         return v.otherwise(F.lit(0).cast("tinyint")), m.otherwise(none)
 
@@ -367,13 +474,14 @@ class Evaluation:
                 ids = sorted({s.id for s in self.literals} | {"*"})
                 edges = edges.where(F.col("si").isin(ids))
             who = self.subjects.select("skey", F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"))
-            found = edges.join(who, ["st", "si", "sr"]).select("skey", "rid", "v", *a.extra)
+            found = self.settle(edges.join(who, ["st", "si", "sr"]), kind, rel.name, "v", "m").select("skey", "rid", "v", *a.extra)
             if wild := [x for x in rel.admits if x.wildcard]:
                 # the rows of everyone meet every subject of their type: a product for each type, not one hot key
                 public = self.edges(kind, rel, wild)
                 for t in dict.fromkeys(x.type for x in wild):
                     everyone = who.where((F.col("st") == t) & (F.col("sr") == "") & (F.col("si") != "*")).select("skey")
-                    found = found.unionByName(product(public.where(F.col("st") == t), "rid", everyone).select("skey", "rid", "v", *a.extra))
+                    every = product(public.where(F.col("st") == t), "rid", everyone)
+                    found = found.unionByName(self.settle(every, kind, rel.name, "v", "m").select("skey", "rid", "v", *a.extra))
             parts.append(Verdicts(a.merge(found, "skey", "rid")))
         for x in rel.admits:
             if not x.relation or not defined(self.schema, x.type, x.relation):
@@ -382,21 +490,21 @@ class Evaluation:
                 continue
             source = (delta if delta is not None else env).get((x.type, x.relation))
             if source is not None:
-                parts.append(self.follow(self.edges(kind, rel, [x]), source))
+                parts.append(self.follow(kind, rel, self.edges(kind, rel, [x]), source))
         return a.union(*parts) if parts else Verdicts()
 
     def constant(self, held: DataFrame) -> DataFrame:
         extra = [F.array().cast("array<string>").alias("m")] if self.algebra.conditional else []
         return held.select("skey", F.lit(2).cast("tinyint").alias("v"), *extra)
 
-    def follow(self, edges: DataFrame, target: Verdicts) -> Verdicts:
+    def follow(self, kind: str, rel: Relation, edges: DataFrame, target: Verdicts) -> Verdicts:
         """Verdicts of the objects at the near end of edges, from those of the far end."""
         a, parts = self.algebra, []
         edges = edges.withColumnsRenamed({"rid": "near", "v": "ev", "m": "em"})
         for df, whole in ((target.rows, False), (target.whole, True)):
             if df is None:
                 continue
-            j = product(edges, "near", df) if whole else edges.join(df, edges["si"] == df["rid"])
+            j = self.settle(product(edges, "near", df) if whole else edges.join(df, edges["si"] == df["rid"]), kind, rel.name, "ev", "em")
             v = and3(F.col("ev"), F.col("v")).alias("v")
             m = [F.array_sort(F.array_distinct(F.concat("em", "m"))).alias("m")] if a.conditional else []
             parts.append(j.select("skey", F.col("near").alias("rid"), v, *m))
@@ -443,7 +551,7 @@ class Evaluation:
         for t in dict.fromkeys(x.type for x in rel.admits):
             target = source.get((t, hop.target))
             if target is not None and (target.rows is not None or target.whole is not None):
-                parts.append(self.follow(self.edges(kind, rel, [x for x in rel.admits if x.type == t]), target))
+                parts.append(self.follow(kind, rel, self.edges(kind, rel, [x for x in rel.admits if x.type == t]), target))
         return self.algebra.union(*parts) if parts else Verdicts()
 
     # -- recursion
@@ -564,6 +672,11 @@ class Evaluation:
         return None
 
 
+def estimate(df: DataFrame) -> int:
+    """Bytes of a frame by the planner's estimate."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def with_subject(df: DataFrame, kind: str, ident: Column, relation: str = "") -> DataFrame:
     """df with the three subject columns."""
     return df.withColumns({"subject_type": F.lit(kind), "subject_id": ident.cast("string"), "subject_relation": F.lit(relation)})

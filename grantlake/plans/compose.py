@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 from ..errors import SchemaError
 from .ast import Combine, Expr, Schema
 from .introspect import permission_cycles
-from .parser import parse_expression
+from .parser import parse_expression, parse_schema
 from .printer import admitted_text, expression_text
 
 #: How an override of each kind joins the permission, in the order in which kinds apply.
@@ -113,3 +113,24 @@ def sync(stored: Iterable[Stored], package: str, schema: Schema, overwrite: bool
             if not old.no_update:
                 del rows[key]
     return sorted(rows.values(), key=lambda s: s.external_id), did
+
+
+def restore(stored: Iterable[Stored], overrides: Iterable[Override] = ()) -> Schema:
+    """The schema that catalog rows say, whatever package owns them, with overrides applied."""
+    parts: dict[str, list[str]] = {}
+    caveats = []
+    for row in sorted(stored, key=lambda s: s.external_id):
+        what, _, name = row.external_id.partition(":")
+        payload = json.loads(row.payload)
+        if what == "caveat":
+            caveats.append(f"caveat {name}({', '.join(f'{n} {t}' for n, t in payload['params'])}) {{ {payload['body']} }}")
+            continue
+        kind, _, member = name.partition("#")
+        lines = parts.setdefault(kind, [])
+        if what == "relation":
+            backing = f" // backing:{payload['backing'][0]}={payload['backing'][1]}" if payload["backing"] else ""
+            lines.append(f"relation {member}: {' | '.join(payload['admits'])}{backing}")
+        elif what == "permission":
+            lines.append(f"permission {member} = {payload['expression']}")
+    text = "\n".join([*caveats, *(f"definition {k} {{\n" + "\n".join(lines) + "\n}" for k, lines in parts.items())])
+    return compose(parse_schema(text), list(overrides))

@@ -56,3 +56,8 @@ class Grant:
 def agent_grant(user_id: str, agent_id: str) -> SubjectRef:
     """The subject of an agent that acts for a user."""
     return SubjectRef("agents/grant", f"{user_id}.{agent_id}", "valid")
+
+
+def subject_ref(config, kind: str, ident) -> SubjectRef:
+    """An entity as a subject: a group stands for its members, as the configuration names groups, anything else for itself."""
+    return SubjectRef(kind, str(ident), "member" if kind == config.group_type else "")

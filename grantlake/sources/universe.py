@@ -33,6 +33,8 @@ class Universe:
         return self
 
     def get(self, kind: str) -> Table:
+        """The table of a type, named with the prefix or without."""
+        kind = kind if kind in self.tables else self.prefix + kind
         if kind not in self.tables:
             raise SchemaError(f"no table is registered for {kind}")
         return self.tables[kind]
@@ -75,8 +77,9 @@ class Universe:
         return out
 
 
-def object_ref(kind: str, ident: Column) -> Column:
-    return F.struct(F.lit(kind).alias("type"), ident.cast("string").alias("id"))
+def object_ref(kind: str, ident: Column, prefix: str = "") -> Column:
+    """An object as a struct (type, id); the prefix is that of the universe."""
+    return F.struct(F.lit(prefix + kind).alias("type"), ident.cast("string").alias("id"))
 
 
 def agent_subject_id(user: Column, agent: Column) -> Column:

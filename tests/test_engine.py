@@ -8,7 +8,8 @@ from grantlake.operators.engine import Engine
 from grantlake.plans.ast import Combine, Hop, Name, Nothing
 from grantlake.plans.parser import parse_schema
 from grantlake.refs import Grant, ObjectRef, SubjectRef
-from grantlake.sources.store import TupleStore, read_token
+from grantlake.sources.store import TupleStore
+from grantlake.sources.versions import read_token
 from grantlake.sources.universe import Universe
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
