@@ -50,6 +50,10 @@ ASKERS = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS u FROM events"
 KEYS = "resource_type, resource_id, relation, subject_type, subject_id, subject_relation, caveat_name"
 TARGET = "concat(resource_type, ':', resource_id, '#', relation, ' @ ', subject_type, ':', subject_id, CASE WHEN subject_relation <> '' THEN concat('#', subject_relation) ELSE '' END, CASE WHEN caveat_name <> '' THEN concat(' with ', caveat_name) ELSE '' END)"
 
+NEAR = f", wr AS (({held('owner')}) EXCEPT SELECT d, u FROM banned), near AS (SELECT DISTINCT resource_id AS d, me.u AS u FROM t JOIN me ON subject_id = me.u WHERE resource_type = 'docs/document' AND subject_type = 'auth/user' AND relation IN ('owner', 'viewer', 'banned'))"
+#: The relations that each permission of documents names, itself or through the permissions that it names.
+DEPENDS = "SELECT permission, unnest(string_split(relations, ' ')) AS relation FROM (VALUES ('read', 'owner viewer folder banned'), ('write', 'owner banned'), ('review', 'viewer gated_viewer'), ('vetted', 'gated_viewer'), ('careful', 'owner gated_viewer banned'), ('preview', 'temp_viewer'), ('read__text', 'owner'), ('write__text', 'owner banned'), ('both', 'owner viewer'), ('either', 'owner viewer'), ('others', 'viewer owner'), ('order', 'owner viewer folder banned'), ('sub', 'owner banned temp_viewer'), ('logged_viewer', 'viewer'), ('open', 'owner folder'), ('create', 'folder')) AS v(permission, relations)"
+
 SQL: dict[str, str] = {
     "accessible_direct": docs(held("owner")),
     "accessible_wildcard": world() + "SELECT me.u AS user_id, CAST(resource_id AS BIGINT) AS doc_id FROM a, me WHERE relation = 'viewer' AND (subject_id = '*' OR subject_type = 'auth/user' AND subject_id = me.u) AND resource_type = 'docs/document' GROUP BY ALL",
@@ -70,25 +74,25 @@ SQL: dict[str, str] = {
     "accessible_as_of": docs(held("owner", "viewer"), until=" AND version <= 400"),
     "accessible_pinned_id": docs(held("pinned")),
     "accessible_builtin_intersection": docs(held("viewer")),
-    "stale_rows_ignored": world(every=10) + "SELECT u AS user_id, CAST(rid AS BIGINT) AS doc_id FROM dr WHERE rt = 'docs/document' AND rel = 'owner' AND CAST(rid AS BIGINT) % 97 = 0",
+    "stale_rows_ignored": docs(held("owner"), every=1),
     "field_backed_direct": "SELECT CAST(o_custkey AS VARCHAR) AS account_id, o_orderkey FROM orders WHERE o_custkey % 50 = 0",
     "field_backed_arrow": world(who="SELECT CAST(r_regionkey AS VARCHAR) AS u FROM region") + f", oread AS ({OREAD}) SELECT u AS user_id, CAST(o AS BIGINT) AS o_orderkey FROM oread",
     "const_admin_arrow": world() + f"SELECT u AS user_id, o_orderkey FROM orders, ({ADMINS})",
     "const_direct": "SELECT 'admin' AS role_id, o_orderkey FROM orders",
     "grants_all_matrix": world() + f"SELECT me.u AS user_id, action, CASE WHEN action = 'list' THEN true WHEN action IN ('read', 'admin_only') THEN me.u IN ({ADMINS}) ELSE false END AS grants_all FROM me, (SELECT unnest(['list', 'read', 'admin_only', 'held']) AS action)",
-    "bulk_check_two_valued": world(who=ASKERS) + f", {ASK} SELECT event_id, action, CASE action WHEN 'read' THEN (d, ask.u) IN (SELECT (d, u) FROM dread) WHEN 'write' THEN (d, ask.u) IN (SELECT (d, u) FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned)) ELSE false END AS allowed FROM ask WHERE action IN ('read', 'write', 'delete')",
+    "bulk_check_two_valued": world(who=ASKERS) + f", {ASK} SELECT event_id, action, CASE action WHEN 'read' THEN (d, ask.u) IN (SELECT (d, u) FROM dread) WHEN 'write' THEN (d, ask.u) IN (SELECT (d, u) FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned)) ELSE false END AS allowed FROM ask",
     "bulk_check_tristate": world(every=1) + ", pairs AS (SELECT d, u FROM gate UNION SELECT d, u FROM doc WHERE rel = 'owner') SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id, CASE WHEN (d, u) IN (SELECT (d, u) FROM doc WHERE rel = 'owner') THEN CASE WHEN (d, u) IN (SELECT (d, u) FROM banned) THEN 'NO_PERMISSION' ELSE 'HAS_PERMISSION' END WHEN (d, u) IN (SELECT (d, u) FROM banned) THEN 'NO_PERMISSION' ELSE 'CONDITIONAL_PERMISSION' END AS result FROM pairs",
     "check_missing_params": world(every=1) + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id, 'required' AS missing FROM gate",
     "caveat_context_override": world(every=1) + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id, quality >= 1 AS static_allowed, 0 >= 1 AS override_allowed FROM gate",
     "kleene_truth_table": "SELECT a, b, greatest(a, b) AS either, least(a, b) AS both, CASE WHEN a = 0 OR b = 2 THEN 0 WHEN a = 2 AND b = 0 THEN 2 ELSE 1 END AS but_not FROM (SELECT unnest([0, 1, 2]) AS a), (SELECT unnest([0, 1, 2]) AS b)",
     "model_level_check": world() + f"SELECT me.u AS user_id, action, CASE action WHEN 'write' THEN me.u IN (SELECT u FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned)) WHEN 'signed_in' THEN true ELSE false END AS allowed FROM me, (SELECT unnest(['write', 'signed_in', 'none', 'vetted']) AS action)",
-    "lookup_subjects_direct": world() + "SELECT CAST(resource_id AS BIGINT) AS doc_id, subject_id AS user_id FROM t WHERE resource_type = 'docs/document' AND relation IN ('owner', 'viewer', 'banned') AND subject_type = 'auth/user' AND CAST(resource_id AS BIGINT) % 20 = 0 GROUP BY ALL",
-    "lookup_subjects_full": world(every=1) + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id FROM dread WHERE CAST(d AS BIGINT) % 100 = 0",
-    "check_new_overlay": world() + "SELECT me.u AS user_id, f % 5 AS folder_id, (CAST(f % 5 AS VARCHAR), me.u) IN (SELECT (f, u) FROM fread) AS allowed FROM me, (SELECT unnest([0, 1, 2, 3, 4]) AS f)",
+    "lookup_subjects_direct": world() + "SELECT CAST(resource_id AS BIGINT) AS doc_id, subject_id AS user_id FROM t WHERE resource_type = 'docs/document' AND relation IN ('owner', 'viewer', 'banned') AND subject_type = 'auth/user' GROUP BY ALL",
+    "lookup_subjects_full": world() + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id FROM dread",
+    "check_new_overlay": world() + f"SELECT me.u AS user_id, f AS folder_id, (CAST(f AS VARCHAR), me.u) IN (SELECT (f, u) FROM fread) AS allowed FROM me, (SELECT doc_id AS f FROM documents WHERE doc_id < greatest(1, {ND} // 10))",
     "roles_of": world() + "SELECT subject_type, subject_id, resource_id AS role_id FROM t WHERE resource_type LIKE '%/role' AND relation = 'member'",
     "members_of": world() + "SELECT subject_type, subject_id, subject_relation FROM t WHERE resource_type = 'org/role' AND resource_id = 'admin' AND relation = 'member'",
-    "implies_of": "SELECT 'org/role' AS role_type, 'editor' AS role_id",
-    "implied_by_of": "SELECT 'org/role' AS role_type, 'admin' AS role_id",
+    "implies_of": world() + "SELECT DISTINCT resource_type AS role_type, resource_id AS role_id FROM t WHERE resource_type LIKE '%/role' AND relation = 'includes' AND subject_type = 'org/role' AND subject_id = 'admin' AND subject_relation = 'effective_member'",
+    "implied_by_of": world() + "SELECT DISTINCT subject_type AS role_type, subject_id AS role_id FROM t WHERE resource_type = 'org/role' AND resource_id = 'editor' AND relation = 'includes' AND subject_relation = 'effective_member'",
     "role_transitive": world(every=1) + ROLE + "SELECT u AS user_id, r AS role_id FROM rmem",
     "roles_reaching": "SELECT 'admin' AS role_id",
     "scoped_count": world(who="SELECT '2' AS u") + f", oread AS ({OREAD}) SELECT count(DISTINCT o) AS n FROM oread",
@@ -97,8 +101,8 @@ SQL: dict[str, str] = {
     "redact_field": world(who="SELECT '7' AS u") + f"SELECT doc_id, CASE WHEN (CAST(doc_id AS VARCHAR), '7') IN ({held('owner').replace('SELECT d, u', 'SELECT (d, u)')}) THEN text END AS text, source FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT d FROM dread)",
     "omit_field": world(who="SELECT '7' AS u") + f"SELECT doc_id, CASE WHEN (CAST(doc_id AS VARCHAR), '7') IN ({held('owner').replace('SELECT d, u', 'SELECT (d, u)')}) THEN '' ELSE 'text' END AS omitted FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT d FROM dread)",
     "denied_fields": world(who="SELECT '7' AS u") + "SELECT CAST(d AS BIGINT) AS doc_id, 'text' AS field FROM (SELECT d FROM dread EXCEPT SELECT d FROM doc WHERE rel = 'owner')",
-    "bulk_guard_denied": world(who="SELECT '7' AS u") + f"SELECT doc_id FROM documents WHERE doc_id % 3 = 0 AND CAST(doc_id AS VARCHAR) NOT IN (SELECT d FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned))",
-    "related_guard_denied": world(who="SELECT '2' AS u") + "SELECT DISTINCT c_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 10 = 0 AND n_regionkey <> 2",
+    "bulk_guard_denied": world(who="SELECT '7' AS u") + f"SELECT doc_id FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT d FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned))",
+    "related_guard_denied": world(who="SELECT '2' AS u") + "SELECT DISTINCT c_custkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2",
     "prefetch_scoped_counts": world(who="SELECT '2' AS u") + f", oread AS ({OREAD}) SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND CAST(o_orderkey AS VARCHAR) IN (SELECT o FROM oread)) AS n_orders FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2",
     "upsert_latest": world() + f", log AS (SELECT {KEYS}, version, caveat_context FROM t UNION ALL SELECT {KEYS}, 1000000 + version, '{{}}' FROM t WHERE relation = 'owner' AND version % 3 = 0) SELECT {KEYS}, max(version) AS version, arg_max(coalesce(caveat_context, ''), version) AS caveat_context FROM log GROUP BY ALL",
     "delete_filter": world() + f"SELECT {KEYS} FROM t WHERE NOT (resource_type = 'docs/document' AND relation = 'viewer' AND subject_id = '*')",
@@ -113,6 +117,22 @@ SQL: dict[str, str] = {
     "order_by_resource_wire": world() + f"SELECT {KEYS} FROM t WHERE resource_type = 'docs/folder'",
     "resolve_subjects": world() + "SELECT DISTINCT subject_id, c_name FROM t JOIN customer ON subject_type = 'auth/user' AND subject_id = CAST(c_custkey AS VARCHAR) WHERE resource_type = 'docs/folder'",
     "module_probe": world() + "SELECT u AS user_id, u IN (SELECT subject_id FROM t WHERE resource_type = 'docs/folder' AND subject_type = 'auth/user') AS has_any FROM me",
-    "all_of_check": world() + f"SELECT me.u AS user_id, (me.u) IN (SELECT u FROM dread WHERE d = '0') AND me.u IN (SELECT u FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned) WHERE d = '0') AS allowed FROM me",
-    "codename_check": world() + f"SELECT me.u AS user_id, codename, CASE codename WHEN 'view_document' THEN me.u IN (SELECT u FROM dread WHERE d = '50') WHEN 'change_document' THEN me.u IN (SELECT u FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned) WHERE d = '50') ELSE false END AS allowed FROM me, (SELECT unnest(['view_document', 'change_document', 'delete_document']) AS codename)",
+    "all_of_check": world() + f"{NEAR} SELECT u AS user_id, CAST(d AS BIGINT) AS doc_id, (d, u) IN (SELECT (d, u) FROM dread) AND (d, u) IN (SELECT (d, u) FROM wr) AS allowed FROM near",
+    "codename_check": world() + f"{NEAR} SELECT u AS user_id, CAST(d AS BIGINT) AS doc_id, codename, CAST(d AS BIGINT) % 2 = 0 AND CASE codename WHEN 'view_document' THEN (d, u) IN (SELECT (d, u) FROM dread) WHEN 'docs.change_document' THEN (d, u) IN (SELECT (d, u) FROM wr) ELSE false END AS allowed, CAST(d AS BIGINT) % 2 = 0 AND codename = 'audit_document' AS defers FROM near, (SELECT unnest(['view_document', 'docs.change_document', 'delete_document', 'audit_document']) AS codename)",
+    "check_one": world(who="SELECT unnest(['0', '7']) AS u")
+    + f", wr AS (({held('owner')}) EXCEPT SELECT d, u FROM banned) SELECT concat(st, ':', u) AS subject, action, concat(rt, ':', rid) AS resource, CASE action WHEN 'read' THEN (rid, u) IN (SELECT (f, u) FROM fread) WHEN 'write' THEN (rid, u) IN (SELECT (d, u) FROM wr) WHEN 'signed_in' THEN st = 'auth/user' ELSE st <> 'auth/user' END AS allowed FROM (VALUES ('auth/user', '0'), ('auth/user', '7'), ('auth/anonymous', '*')) AS s(st, u), (VALUES ('read', 'docs/folder', '0'), ('write', 'docs/document', '0'), ('write', 'docs/document', '1'), ('signed_in', 'docs/document', '1'), ('public', 'docs/document', '1')) AS x(action, rt, rid)",
+    "check_at_token": world() + f"SELECT CAST(resource_id AS BIGINT) AS doc_id, subject_id AS user_id, version <= {ND} // 2 AS allowed FROM t WHERE resource_type = 'docs/document' AND relation = 'owner' AND subject_type = 'auth/user'",
+    "bulk_check_row_context": world(every=1) + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id, CASE CAST(d AS BIGINT) % 3 WHEN 2 THEN 'CONDITIONAL_PERMISSION' ELSE CASE WHEN quality >= CAST(d AS BIGINT) % 3 THEN 'HAS_PERMISSION' ELSE 'NO_PERMISSION' END END AS result FROM gate",
+    "caveat_string_ops": "SELECT doc_id, coalesce(length(lang) = 2 AND length(source) > 4, false) AS size, coalesce(concat(lang, ':', source) = 'en:src1', false) AS joined, doc_id // 2 * 2 = doc_id AND doc_id % 4 <> 0 AS halves, coalesce(lang IN ('de', 'fr') AND NOT starts_with(source, 'src1'), false) AS listed FROM documents",
+    "save_keeps_redacted": world(who="SELECT '7' AS u") + f"SELECT doc_id, text, source || '!' AS origin FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT d FROM (({held('owner', 'viewer')}) EXCEPT SELECT d, u FROM banned))",
+    "guarded_update": world(who="SELECT '7' AS u") + f"SELECT doc_id, 'marked' AS source FROM documents WHERE CAST(doc_id AS VARCHAR) IN (SELECT d FROM (({held('owner')}) EXCEPT SELECT d, u FROM banned))",
+    "guarded_delete": "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey <> 2",
+    "conditional_gate": world(who="SELECT '17' AS u") + "SELECT doc_id, shown, shown AND lang IS NOT NULL AND CAST(doc_id AS VARCHAR) IN (SELECT d FROM gate) AS visible FROM documents, (SELECT unnest([true, false]) AS shown) WHERE CAST(doc_id AS VARCHAR) IN (SELECT d FROM dread)",
+    "write_rejected": "SELECT name, name = 'fine' AS written FROM (SELECT unnest(['group as owner', 'column', 'constant', 'unknown', 'wildcard', 'fine']) AS name)",
+    "grant_and_revoke_roles": world() + f"SELECT {KEYS} FROM t WHERE resource_type = 'org/role' AND NOT (resource_id = 'editor' AND relation = 'member' AND subject_id = '3') AND NOT (resource_id = 'editor' AND relation = 'includes' AND subject_id = 'admin') UNION ALL SELECT * FROM (VALUES ('org/role', 'viewer', 'member', 'auth/user', '9', '', ''), ('org/role', 'guest', 'includes', 'org/role', 'viewer', 'effective_member', '')) AS v({KEYS})",
+    "audit_grant_revoke": world() + f"SELECT 'revoke' AS kind, 'root' AS actor_id, {TARGET} AS target, 'tidy' AS reason, relation FROM t WHERE resource_type = 'docs/document' AND relation = 'viewer' AND subject_id = '*' UNION ALL SELECT 'grant', 'root', 'docs/folder:0#owner @ auth/user:5', 'tidy', 'owner'",
+    "relation_dependencies_of_all": f"SELECT permission, relation FROM ({DEPENDS})",
+    "permissions_reaching_of_all": f"SELECT relation, permission FROM ({DEPENDS})",
+    "schema_lints": "SELECT name, name <> 'fine' AS found FROM (SELECT unnest(['fine', 'cycle', 'constant cycle', 'constant target', 'unknown name']) AS name)",
+    "recaveat_override": world(every=1) + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id, quality > 0 AS allowed FROM gate",
 }

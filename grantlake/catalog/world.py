@@ -187,6 +187,9 @@ class World:
         """The subjects that most queries ask for: users whose key is divisible by `every`."""
         return self.table("customer").where(F.col("c_custkey") % every == 0).select(F.lit("auth/user").alias("subject_type"), F.col("c_custkey").cast("string").alias("subject_id"), F.lit("").alias("subject_relation"))
 
+    def n_folders(self) -> int:
+        return max(1, self.table("documents").count() // 10)
+
     def requests(self) -> DataFrame:
         """A request an event."""
         n = self.table("documents").count()
