@@ -176,34 +176,46 @@ class Engine:
         """
         if (at := self.reading(token, consistency)) is not self:
             return at.bulk_check(requests, context, context_column, narrow, consistency="minimize_latency")
-        pairs = [tuple(r) for r in requests.select("resource_type", "action").distinct().collect()]
+        kinds = [tuple(r) for r in requests.select("resource_type", "action").distinct().collect()]
         skey = subject_key(*[F.col(c) for c in SUBJECT])
         if context_column:
             skey = F.concat(skey, F.lit(WITH), F.coalesce(F.col(context_column).cast("string"), F.lit("{}")))
         asked = requests.withColumn("skey", skey)
-        known = [(t, a) for t, a in sorted(pairs, key=str) if defined(self.schema, t, a)]
+        known = [(t, a) for t, a in sorted(kinds, key=str) if defined(self.schema, t, a)]
         kinds = {t for t, _ in known}
-        targets = {t: requests.where(F.col("resource_type") == t).select(F.col("resource_id").alias("rid")).distinct() for t in kinds}
         models = requests.where(F.col("resource_id") == "").limit(1).count() > 0 if known else False
-        ev = self.evaluate(asked.select("skey", *SUBJECT).distinct(), context, {} if models else targets)
-        if not models and known and (estimate(self.store.df) > NARROW * estimate(requests) if narrow is None else narrow):
-            ev.narrow(known)
+        store_is_large = known and not models and (estimate(self.store.df) > NARROW * estimate(requests) if narrow is None else narrow)
+        # what is asked, once: every plan below meets it early, so that verdicts nobody asked for are not carried along
+        pairs = self.rounds().save(asked.select(F.col("resource_type").alias("kind"), "skey", F.col("resource_id").alias("rid")).distinct(), "asked") if known and not models else None
+        evs: dict[bool, Evaluation] = {}
+        for t, a in known:  # missing names are only carried where caveats are in reach
+            caveats = bool(self.evaluate(requests).reads(t, a) & self.caveated())
+            if caveats not in evs:
+                evs[caveats] = self.evaluate(asked.select("skey", *SUBJECT).distinct(), context)
+                evs[caveats].wanted = []
+            evs[caveats].wanted.append((t, a))
+        named = True in evs
         rows = whole = None
-        for t, a in known:
-            ev.prepare(t, a)
-        for t, a in known:
-            v = ev.verdicts(t, a)
-            tag = lambda df, t=t, a=a: df.select(F.lit(t).alias("resource_type"), F.lit(a).alias("action"), *df.columns)
-            if v.rows is not None:
-                part = tag(v.rows.withColumnRenamed("rid", "resource_id"))
-                rows = part if rows is None else rows.unionByName(part)
-                if models:
-                    some = tag(v.rows.where("v = 2").groupBy("skey").agg(F.max("v").alias("v")))
-                    some = some.withColumn("m", F.array().cast("array<string>")) if ev.algebra.conditional else some
-                    rows = rows.unionByName(some.withColumn("resource_id", F.lit("")))
-            if v.whole is not None:
-                part = tag(v.whole)
-                whole = part if whole is None else whole.unionByName(part)
+        for ev in evs.values():
+            if pairs is not None:
+                ev.pairs = {t: pairs.where(F.col("kind") == t).drop("kind") for t in {t for t, _ in known}}
+                ev.targets = {t: p.select("rid").distinct() for t, p in ev.pairs.items()}
+            if store_is_large:
+                ev.narrow(ev.wanted)
+            for t, a in ev.wanted:
+                v = ev.verdicts(t, a)
+                more = [F.array().cast("array<string>").alias("m")] if named and not ev.algebra.conditional else []
+                tag = lambda df, t=t, a=a, more=more: df.select(F.lit(t).alias("resource_type"), F.lit(a).alias("action"), *df.columns, *more)
+                if v.rows is not None:
+                    part = tag(v.rows.withColumnRenamed("rid", "resource_id"))
+                    rows = part if rows is None else rows.unionByName(part)
+                    if models:
+                        some = v.rows.where("v = 2").groupBy("skey").agg(F.max("v").alias("v")).withColumn("resource_id", F.lit(""))
+                        some = some.withColumn("m", F.array().cast("array<string>")) if ev.algebra.conditional else some
+                        rows = rows.unionByName(tag(some))
+                if v.whole is not None:
+                    part = tag(v.whole)
+                    whole = part if whole is None else whole.unionByName(part)
         none = F.array().cast("array<string>")
         key = ["resource_type", "action", "skey"]
         out, vs, ms = asked, [F.lit(0).cast("tinyint")], []
@@ -212,7 +224,7 @@ class Engine:
                 df = df.withColumnsRenamed({"v": f"_{name}v", "m": f"_{name}m"})
                 out = out.join(df, on, "left")
                 vs.append(F.coalesce(f"_{name}v", F.lit(0).cast("tinyint")))
-                ms += [F.when(F.col(f"_{name}v") == 1, F.col(f"_{name}m"))] if ev.algebra.conditional else []
+                ms += [F.when(F.col(f"_{name}v") == 1, F.col(f"_{name}m"))] if named else []
         v = F.greatest(*vs) if len(vs) > 1 else vs[0]
         v = F.when((F.col("resource_id") == "") & (v == 1), F.lit(0).cast("tinyint")).otherwise(v)
         names = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(m, none) for m in ms])))) if ms else none
@@ -298,6 +310,8 @@ class Evaluation:
         self.subjects = subjects if "skey" in subjects.columns else subjects.select(subject_key(*[F.col(c) for c in SUBJECT]).alias("skey"), *SUBJECT)
         self.own_context = "skey" in subjects.columns
         self.narrowed = False
+        self.pairs: dict[str, DataFrame] = {}  # (skey, rid) that are asked, by type
+        self._edges: dict[tuple, DataFrame | None] = {}
         self.memo: dict[tuple[str, str], Verdicts] = {}
         self.algebra = Algebra(False)
         self.rounds: Rounds | None = None
@@ -350,6 +364,12 @@ class Evaluation:
 
     def edges(self, kind: str, rel: Relation, only: list | None = None) -> DataFrame | None:
         """(rid, st, si, sr, v[, m]) of a relation: its admitted, live tuples, or its column."""
+        key = (kind, rel.name, tuple(only or ()), self.algebra.conditional, self.narrowed)
+        if key not in self._edges:
+            self._edges[key] = self._read(kind, rel, only)
+        return self._edges[key]
+
+    def _read(self, kind: str, rel: Relation, only: list | None) -> DataFrame | None:
         engine, parts = self.engine, []
         extra = [F.array().cast("array<string>").alias("m")] if self.algebra.conditional else []
         yes = F.lit(2).cast("tinyint").alias("v")
@@ -381,6 +401,10 @@ class Evaluation:
             out = out.join(self.targets[kind], "rid", "left_semi")
         return out
 
+    def is_asked(self, kind: str) -> bool:
+        """Whether only known pairs of subject and object of the type matter."""
+        return kind in self.pairs and self.is_top(kind)
+
     def waits(self, kind: str, relation: str) -> bool:
         """Whether a relation's caveats are judged once an edge has met a request, as each has a context of its own."""
         return self.own_context and (kind, relation) in self.engine.caveated()
@@ -474,14 +498,19 @@ class Evaluation:
                 ids = sorted({s.id for s in self.literals} | {"*"})
                 edges = edges.where(F.col("si").isin(ids))
             who = self.subjects.select("skey", F.col("subject_type").alias("st"), F.col("subject_id").alias("si"), F.col("subject_relation").alias("sr"))
-            found = self.settle(edges.join(who, ["st", "si", "sr"]), kind, rel.name, "v", "m").select("skey", "rid", "v", *a.extra)
-            if wild := [x for x in rel.admits if x.wildcard]:
+            wild = [x for x in rel.admits if x.wildcard]
+            public = self.edges(kind, rel, wild) if wild else None
+            alone = (F.col("sr") == "") & (F.col("si") != "*")
+            if self.is_asked(kind):  # edges meet the requests on both ends at once
+                askers = self.pairs[kind].join(who, "skey")
+                found = [edges.join(askers, ["rid", "st", "si", "sr"])]
+                if wild:
+                    found.append(public.drop("si", "sr").join(askers.where(alone).select("skey", "rid", "st"), ["rid", "st"]))
+            else:
+                found = [edges.join(who, ["st", "si", "sr"])]
                 # the rows of everyone meet every subject of their type: a product for each type, not one hot key
-                public = self.edges(kind, rel, wild)
-                for t in dict.fromkeys(x.type for x in wild):
-                    everyone = who.where((F.col("st") == t) & (F.col("sr") == "") & (F.col("si") != "*")).select("skey")
-                    every = product(public.where(F.col("st") == t), "rid", everyone)
-                    found = found.unionByName(self.settle(every, kind, rel.name, "v", "m").select("skey", "rid", "v", *a.extra))
+                found += [product(public.where(F.col("st") == t), "rid", who.where((F.col("st") == t) & alone).select("skey")) for t in dict.fromkeys(x.type for x in wild)]
+            found = a.stack(*[self.settle(x, kind, rel.name, "v", "m").select("skey", "rid", "v", *a.extra) for x in found])
             parts.append(Verdicts(a.merge(found, "skey", "rid")))
         for x in rel.admits:
             if not x.relation or not defined(self.schema, x.type, x.relation):
@@ -504,7 +533,12 @@ class Evaluation:
         for df, whole in ((target.rows, False), (target.whole, True)):
             if df is None:
                 continue
-            j = self.settle(product(edges, "near", df) if whole else edges.join(df, edges["si"] == df["rid"]), kind, rel.name, "ev", "em")
+            if self.is_asked(kind):
+                both = edges.join(self.pairs[kind].withColumnRenamed("rid", "near"), "near")
+                j = both.join(df, "skey") if whole else both.join(df.withColumnRenamed("rid", "si"), ["si", "skey"])
+            else:
+                j = product(edges, "near", df) if whole else edges.join(df, edges["si"] == df["rid"])
+            j = self.settle(j, kind, rel.name, "ev", "em")
             v = and3(F.col("ev"), F.col("v")).alias("v")
             m = [F.array_sort(F.array_distinct(F.concat("em", "m"))).alias("m")] if a.conditional else []
             parts.append(j.select("skey", F.col("near").alias("rid"), v, *m))
@@ -602,7 +636,10 @@ class Evaluation:
             self.memo[at] = self.total(found[at])
 
     def total(self, parts: list[Verdicts]) -> Verdicts:
-        return self.algebra.union(*parts) if parts else Verdicts()
+        """What the steps found. Without conditional verdicts no step finds what another has, so nothing need be merged."""
+        if self.algebra.conditional:
+            return self.algebra.union(*parts) if parts else Verdicts()
+        return Verdicts(self.algebra.stack(*[p.rows for p in parts]), self.algebra.stack(*[p.whole for p in parts]))
 
     def better(self, new: list[DataFrame | None], old: list[DataFrame | None], *keys: str) -> DataFrame | None:
         """The part of new (with hop) that is not in old or exceeds it, one row a key."""
