@@ -20,11 +20,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+def own_root(spark: SparkSession) -> str:
+    """Where this application's written tables are, all of them."""
+    return f"{scratch_root(spark)}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the written tables of this application: for its end, when no frame is to be read any more."""
+    delete(spark, own_root(spark))
+
+
 class Rounds:
     """Tables of the rounds of fixpoints, in a folder of their own. Frames that read them need them, so they stay until drop()."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, f"{scratch_root(spark)}/rounds-{uuid.uuid4().hex}", 0
+        self.spark, self.base, self.n = spark, f"{own_root(spark)}/rounds-{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
