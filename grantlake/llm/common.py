@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import scratch_root
+from ..sources.scratch import delete, own_root
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax alike).
 SPACE = r"[\x20\x09-\x0D]"
@@ -80,7 +80,7 @@ class Scratch:
     """Tables in the shared folder. Writing one cuts the lineage: a lost executor costs its own tasks only, since what was written stays."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base = spark, f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{own_root(spark)}/scratch-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -91,8 +91,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.path(name))
 
 
 def running_sum(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: Column, out: str, sums: DataFrame | None = None) -> DataFrame:
