@@ -4,27 +4,30 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SchemaError
+from ..config import Config
+from ..errors import PermissionDenied, SchemaError, StoreBehind
 from ..functions import cel
 from ..operators import roles
+from ..operators.actors import acting, bypassing
 from ..operators.audit import Trail
 from ..operators.engine import SUBJECT
-from ..operators.secure import SecuredFrame, has_any_tuple, has_codenames, has_perms
+from ..operators.secure import SecuredFrame, has_any_tuple, has_codenames, has_perms, tool
 from ..operators.verdicts import and3, minus3, or3, product
 from ..plans.ast import Caveat, Permission
-from ..plans.compose import Override, compose
+from ..plans.compose import Override, compose, restore, sync
 from ..plans.introspect import check_schema, permission_sources, permissions_reaching, relation_dependencies, roles_reaching
-from ..plans.parser import parse_expression
+from ..plans.parser import parse_expression, parse_schema
 from ..plans.printer import expression_text
 from ..refs import Grant, ObjectRef, SubjectRef
 from ..sources.scratch import scratch_root
-from ..sources.store import KEY, TupleStore, target_column
-from ..sources.versions import token
+from ..sources.store import KEY, RegistryStore, TupleStore, migrate, target_column
+from ..sources.versions import token, version_scope
 from .world import World
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,3 +577,118 @@ def recaveat_override(w: World) -> DataFrame:
     some = gated(w).withColumn("action", F.lit("vetted"))
     out = w.engine()._copy(schema=schema).bulk_check(some, {"required": 0})
     return out.select(F.col("resource_id").cast("long").alias("doc_id"), F.col("subject_id").alias("user_id"), "allowed")
+
+
+@query
+def registry_scans(w: World) -> DataFrame:
+    """Tuples of a few objects by either end, over the dictionary-encoded store as files."""
+    path = f"{scratch_root(w.spark)}/registry-{uuid.uuid4().hex}"
+    RegistryStore.of(w.store).save(path)
+    store = RegistryStore.load(w.spark, path)
+    found = [store.for_resource("docs/document", "0"), store.for_subject("auth/group", "nation-0", "member"), store.for_subject("org/role", "admin")]
+    out = found[0].unionByName(found[1]).unionByName(found[2])
+    return out.select(*KEY).distinct()
+
+
+@query
+def storage_migrated(w: World) -> DataFrame:
+    """From the plain form to the dictionary-encoded one and back, as files."""
+    base = f"{scratch_root(w.spark)}/migrate-{uuid.uuid4().hex}"
+    w.store.save(f"{base}/plain")
+    there = migrate(w.spark, f"{base}/plain", f"{base}/coded", "registry")
+    back = migrate(w.spark, f"{base}/coded", f"{base}/back", "denormalized")
+    return from_rows(w, [("registry", there["read"], there["written"]), ("denormalized", back["read"], back["written"])], "to string, n_read long, n_written long")
+
+
+@query
+def schema_from_catalog(w: World) -> DataFrame:
+    """Documents that users own or view by a schema that was synchronised into catalog rows and read back."""
+    rows, _ = sync([], "catalog", w.schema)
+    out = w.engine()._copy(schema=restore(rows)).accessible(w.users(), "either", "docs/document")
+    return out.select(F.col("subject_id").alias("user_id"), F.col("resource_id").cast("long").alias("doc_id"))
+
+
+@query
+def schema_synchronised(w: World) -> DataFrame:
+    """What synchronising does to rows that are new, unchanged, changed in the package, edited, held or gone."""
+    old = [f"permission {n} = r" for n in ("same", "changed", "edited", "held", "gone")]
+    rows, _ = sync([], "p", parse_schema("definition a/x { relation r: a/x\n" + "\n".join(old) + "}"))
+    rows = [replace(x, payload='{"expression": "nil"}') if x.external_id.endswith("#edited") else replace(x, no_update=x.external_id.endswith("#held")) for x in rows]
+    new = "permission same = r\npermission changed = nil\npermission edited = r + r\npermission held = nil\npermission added = r"
+    _, did = sync(rows, "p", parse_schema(f"definition a/x {{ relation r: a/x\n{new} }}"))
+    return from_rows(w, sorted(did.items()), "external_id string, done string")
+
+
+@query
+def explained(w: World) -> DataFrame:
+    """The algebra of every permission of documents."""
+    d = w.schema.definition("docs/document")
+    return from_rows(w, [(p.name, w.engine().explain(d.type, p.name).split(" = ", 1)[1]) for p in d.permissions if p.name in ("either", "both", "others", "none", "sub", "preview")], "permission string, algebra string")
+
+
+@query
+def tool_calls(w: World) -> DataFrame:
+    """Which calls of tools get through, for a user and nobody."""
+    engine, rows = w.engine(), []
+    calls = {
+        "read folder 0": (tool(engine, "docs/folder", "read", id_argument="at")(lambda at=None: None), {"at": 0}),
+        "write document 1": (tool(engine, "docs/document", "write", id_argument="at")(lambda at=None: None), {"at": 1}),
+        "write a fixed one": (tool(engine, "docs/document", "write", resource_id="0")(lambda at=None: None), {}),
+        "write the only one": (tool(engine, "docs/document", "write")(lambda: None), {}),
+        "create in folder 0": (tool(engine, "docs/document", "create", relations={"folder": "at"})(lambda at=None: None), {"at": "docs/folder:0"}),
+        "create nowhere": (tool(engine, "docs/document", "create", relations={"folder": "at"})(lambda at=None: None), {}),
+    }
+    for who in ("0", None):
+        for name, (call, how) in calls.items():
+            try:
+                with acting(f"auth/user:{who}") if who else nullcontext():
+                    call(**how)
+                rows.append((who or "nobody", name, True))
+            except PermissionDenied:
+                rows.append((who or "nobody", name, False))
+    return from_rows(w, rows, "who string, call string, allowed boolean")
+
+
+@query
+def ambient_actor(w: World) -> DataFrame:
+    """How many orders a frame without an actor shows to an ambient manager of region 2, under a bypass, and to a frame's own actor."""
+    frame, rows = SecuredFrame.of(w.engine(), "sales/order"), []
+    with acting("auth/user:2"):
+        rows.append(("ambient", frame.count()))
+        with bypassing(frame.engine, "count"):
+            rows.append(("bypass", frame.count()))
+            rows.append(("own", frame.as_user(3).count()))
+    return from_rows(w, rows, "way string, n long")
+
+
+@query
+def read_your_writes(w: World) -> DataFrame:
+    """A folder's new owner, seen by engines over the store before and after the write."""
+    rows = []
+    with version_scope():
+        later, _ = w.store.write(w.schema, [Grant(ObjectRef("docs/folder", "1"), "owner", SubjectRef("auth/user", "6"))])
+        for name, store in (("after", later), ("before", w.store)):
+            try:
+                rows.append((name, w.engine()._copy(store=store).has_access("auth/user:6", "read", "docs/folder:1")))
+            except StoreBehind:
+                rows.append((name, None))
+    return from_rows(w, rows, "store string, allowed boolean")
+
+
+@query
+def instance_checks(w: World) -> DataFrame:
+    """Single documents as user 7 meets them."""
+    frame, rows = seven(w).redact("redact"), []
+    for i in (0, 1, 2, 3):
+        one = frame.instance(i)
+        row = one.get()
+        rows.append((i, row is not None, bool(row is not None and row.text is not None), one.has_access("write")))
+    return from_rows(w, rows, "doc_id long, seen boolean, text_seen boolean, writes boolean")
+
+
+@query
+def universal_admin_lint(w: World) -> DataFrame:
+    """Role types that do not admit the universal admin's members."""
+    text = "definition a/user {}\n" + "\n".join(f"definition {t}/role {{ relation member: a/user{more} }}" for t, more in (("root", ""), ("good", " | root/role:admin#member"), ("bad", " | root/role:other#member"), ("none", "")))
+    found = " ".join(check_schema(text, Config(universal_admin="root/role:admin")))
+    return from_rows(w, [(t, f"{t}/role#member" in found) for t in ("root", "good", "bad", "none")], "type string, found boolean")

@@ -135,4 +135,16 @@ SQL: dict[str, str] = {
     "permissions_reaching_of_all": f"SELECT relation, permission FROM ({DEPENDS})",
     "schema_lints": "SELECT name, name <> 'fine' AS found FROM (SELECT unnest(['fine', 'cycle', 'constant cycle', 'constant target', 'unknown name']) AS name)",
     "recaveat_override": world(every=1) + "SELECT CAST(d AS BIGINT) AS doc_id, u AS user_id, quality > 0 AS allowed FROM gate",
+    "registry_scans": world() + f"SELECT DISTINCT {KEYS} FROM t WHERE resource_type = 'docs/document' AND resource_id = '0' OR subject_type = 'auth/group' AND subject_id = 'nation-0' AND subject_relation = 'member' OR subject_type = 'org/role' AND subject_id = 'admin'",
+    "storage_migrated": world() + 'SELECT "to", n AS n_read, n AS n_written FROM (SELECT count(*) AS n FROM t), (SELECT unnest([\'registry\', \'denormalized\']) AS "to")',
+    "schema_from_catalog": docs(held("owner", "viewer")),
+    "schema_synchronised": "SELECT * FROM (VALUES ('definition:a/x', 'keep'), ('relation:a/x#r', 'keep'), ('permission:a/x#same', 'keep'), ('permission:a/x#changed', 'update'), ('permission:a/x#edited', 'drift'), ('permission:a/x#held', 'held'), ('permission:a/x#added', 'create'), ('permission:a/x#gone', 'prune')) AS v(external_id, done)",
+    "explained": "SELECT * FROM (VALUES ('either', '(owner + viewer)'), ('both', '(owner & viewer)'), ('others', '(viewer - owner)'), ('none', 'nil'), ('sub', '(write + preview)'), ('preview', 'temp_viewer')) AS v(permission, algebra)",
+    "tool_calls": world(who="SELECT '0' AS u")
+    + f", wr AS (({held('owner')}) EXCEPT SELECT d, u FROM banned) SELECT who, call, CASE call WHEN 'read folder 0' THEN ('0', who) IN (SELECT (f, u) FROM fread) WHEN 'write document 1' THEN ('1', who) IN (SELECT (d, u) FROM wr) WHEN 'write a fixed one' THEN ('0', who) IN (SELECT (d, u) FROM wr) WHEN 'create in folder 0' THEN ('0', who) IN (SELECT (f, u) FROM fread) ELSE false END AS allowed FROM (SELECT unnest(['0', 'nobody']) AS who), (SELECT unnest(['read folder 0', 'write document 1', 'write a fixed one', 'write the only one', 'create in folder 0', 'create nowhere']) AS call)",
+    "ambient_actor": world(who="SELECT unnest(['2', '3']) AS u")
+    + f", oread AS ({OREAD}), n AS (SELECT count(*) AS every FROM orders) SELECT way, CASE WHEN u IS NULL OR u IN ({ADMINS}) THEN every ELSE (SELECT count(DISTINCT o) FROM oread WHERE oread.u = x.u) END AS n FROM (VALUES ('ambient', '2'), ('bypass', NULL), ('own', '3')) AS x(way, u), n",
+    "read_your_writes": "SELECT * FROM (VALUES ('after', true), ('before', NULL)) AS v(store, allowed)",
+    "instance_checks": world(who="SELECT '7' AS u") + f", wr AS (({held('owner')}) EXCEPT SELECT d, u FROM banned) SELECT CAST(i AS BIGINT) AS doc_id, CAST(i AS VARCHAR) IN (SELECT d FROM dread) AS seen, CAST(i AS VARCHAR) IN (SELECT d FROM dread) AND CAST(i AS VARCHAR) IN ({held('owner').replace('SELECT d, u', 'SELECT d')}) AS text_seen, CAST(i AS VARCHAR) IN (SELECT d FROM wr) AS writes FROM (SELECT unnest(range(4)) AS i)",
+    "universal_admin_lint": "SELECT type, type IN ('bad', 'none') AS found FROM (SELECT unnest(['root', 'good', 'bad', 'none']) AS type)",
 }
