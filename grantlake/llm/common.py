@@ -41,7 +41,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 #: Rows of an Arrow batch that a Python worker turns into objects at a time.
-SLICE = 512
+SLICE = 256
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
