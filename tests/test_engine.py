@@ -242,3 +242,14 @@ def test_random_graphs(spark, exprs, rows):
             got.setdefault(r.subject_id, set()).add(r.resource_id)
         for who in ("ann", "bob"):
             assert got.get(who, set()) == plain(schema, tuples, ("u/u", who, ""), t, n)
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+def test_hops_without_a_limit(spark, narrow):
+    """Chains longer than the default limit, downwards and, from the requested objects, upwards; cycles end all the same."""
+    chain = [f"blog/folder:{i + 1}#parent @ blog/folder:{i}" for i in range(15)]
+    e = engine(spark, *chain, "blog/folder:0#parent @ blog/folder:9", "blog/folder:0#viewer @ auth/user:ann", "blog/post:p1#folder @ blog/folder:15", max_hops=None)
+    asked = spark.createDataFrame([("auth/user", who, "", "read", "blog/post", "p1") for who in ("ann", "bob")], "subject_type string, subject_id string, subject_relation string, action string, resource_type string, resource_id string")
+    assert {r.subject_id: r.allowed for r in e.bulk_check(asked, narrow=narrow).collect()} == {"ann": True, "bob": False}
+    if not narrow:
+        assert ids(e, "auth/user:ann", "read", "blog/folder") == {str(i) for i in range(16)}
