@@ -253,3 +253,18 @@ def test_hops_without_a_limit(spark, narrow):
     assert {r.subject_id: r.allowed for r in e.bulk_check(asked, narrow=narrow).collect()} == {"ann": True, "bob": False}
     if not narrow:
         assert ids(e, "auth/user:ann", "read", "blog/folder") == {str(i) for i in range(16)}
+
+
+def test_only_asked_pairs_of_types_that_nothing_asked_for_leads_into(spark):
+    """Stars lead into posts by `open` alone: requests to read meet the edges of posts as pairs, those to open do not; both are right."""
+    schema = parse_schema("definition auth/user {} definition blog/folder { relation viewer: auth/user relation starred: blog/post permission read = viewer permission open = viewer + starred->open } definition blog/post { relation owner: auth/user | auth/user:* relation folder: blog/folder permission read = owner + folder->read permission open = owner + folder->open }")
+    e = engine(spark, "blog/post:p1#folder @ blog/folder:f", "blog/folder:f#starred @ blog/post:p2", "blog/post:p2#owner @ auth/user:ann", "blog/folder:f#viewer @ auth/user:bob", "blog/post:p3#owner @ auth/user:*", schema=schema)
+    want = {("ann", "read", "p2"), ("bob", "read", "p1"), ("ann", "open", "p1"), ("ann", "open", "p2"), ("bob", "open", "p1"), *(("ann", a, "p3") for a in ("read", "open")), *(("bob", a, "p3") for a in ("read", "open"))}
+    every = [("auth/user", who, "", a, "blog/post", p) for who in ("ann", "bob") for a in ("read", "open") for p in ("p1", "p2", "p3")]
+    for actions in (("read",), ("open",), ("read", "open")):
+        rows = [x for x in every if x[3] in actions]
+        asked = spark.createDataFrame(rows, "subject_type string, subject_id string, subject_relation string, action string, resource_type string, resource_id string")
+        assert {(r.subject_id, r.action, r.resource_id) for r in e.bulk_check(asked).collect() if r.allowed} == {x for x in want if x[1] in actions}
+        ev = e.evaluate(asked)
+        ev.wanted = [("blog/post", a) for a in actions]
+        assert ev.is_top("blog/post") == ("open" not in actions)
