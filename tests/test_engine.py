@@ -268,3 +268,16 @@ def test_only_asked_pairs_of_types_that_nothing_asked_for_leads_into(spark):
         ev = e.evaluate(asked)
         ev.wanted = [("blog/post", a) for a in actions]
         assert ev.is_top("blog/post") == ("open" not in actions)
+
+
+def test_intersection_works_out_pairs_of_the_lesser_side(spark):
+    """Owners are few; viewers through groups and everyone are only looked up for them, from either side of `&` and through a hop."""
+    schema = parse_schema("definition auth/user {} definition auth/group { relation member: auth/user | auth/group#member } definition blog/folder { relation viewer: auth/user permission read = viewer } definition blog/post { relation owner: auth/user relation folder: blog/folder relation viewer: auth/user | auth/user:* | auth/group#member permission a = owner & viewer permission b = viewer & owner permission c = owner & (viewer + folder->read) permission d = viewer & folder->read }")
+    e = engine(spark, *[f"blog/post:p{i}#owner @ auth/user:ann" for i in range(1, 6)], "blog/post:p1#viewer @ auth/user:*", "blog/post:p2#viewer @ auth/group:g#member", "auth/group:g#member @ auth/group:h#member", "auth/group:h#member @ auth/user:ann", "auth/group:h#member @ auth/user:bob", "blog/post:p3#viewer @ auth/user:ann", "blog/post:p4#folder @ blog/folder:f", "blog/folder:f#viewer @ auth/user:ann", "blog/post:p1#folder @ blog/folder:f", schema=schema)
+    users = e.subjects(["auth/user:ann", "auth/user:bob"])
+    for action, want in (("a", "123"), ("b", "123"), ("c", "1234"), ("d", "1")):
+        assert {(r.subject_id, r.resource_id) for r in e.accessible(users, action, "blog/post").collect()} == {("ann", f"p{i}") for i in want}
+        ev = e.evaluate(users)
+        ev.verdicts("blog/post", action)
+        written = "few" in "".join(f for df in (ev.memo[("blog/post", action)].rows,) for f in df.inputFiles())
+        assert written == (action != "d")
