@@ -8,7 +8,7 @@ import pytest
 from grantlake.config import Config
 
 SF = "/root/testdata/sf0.001"
-DEEP = ["accessible_arrow", "check_one"]
+DEEP = ["accessible_arrow", "check_one", "read_your_writes"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
