@@ -8,7 +8,7 @@ import pytest
 from grantlake.config import Config
 
 SF = "/root/testdata/sf0.001"
-DEEP = ["accessible_arrow", "check_one", "read_your_writes", "tool_calls", "lookup_subjects_full", "accessible_arrow_union_types", "accessible_folder_tree", "all_of_check", "override_composed", "scoped_exists_by_user", "accessible_precedence", "bulk_check_two_valued"]
+DEEP = ["accessible_arrow", "check_one", "read_your_writes", "tool_calls", "lookup_subjects_full", "accessible_arrow_union_types", "accessible_folder_tree", "all_of_check", "override_composed", "scoped_exists_by_user", "accessible_precedence", "bulk_check_two_valued", "codename_check"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
