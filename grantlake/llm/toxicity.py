@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, slices
+from .common import give_back, quoted, slices
 
 #: Chosen by cross-validation within the training labels, as are WITNESS, RIDGE and ROUNDS (see cross_validate).
 SPAN, DECAY, BITS = 5, 0.7, 20
@@ -395,7 +395,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 left -= r["n"]
     picked = F.broadcast(docs.sparkSession.createDataFrame([(h,) for h in sorted(taken)], "hash long"))
     got = sorted(joined.join(picked, "hash", "left_semi").dropDuplicates(["hash"]).collect())
-    return learn(((r["toxic"], r["text"]) for r in got), counts.get(1, 0) / max(1, sum(counts.values())))
+    machine = learn(((r["toxic"], r["text"]) for r in got), counts.get(1, 0) / max(1, sum(counts.values())))
+    del got
+    give_back()
+    return machine
 
 
 def score_documents(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -83,3 +83,14 @@ def test_empty_pipeline(spark, tmp_path):
 def test_registered():
     assert [n.split("_")[0] for n in list(queries())[:10]] == [f"op{i}" for i in range(1, 11)] and "pipeline" in queries()
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_training_gives_memory_back(spark, monkeypatch):
+    """Free memory of the driver's training must not stay beside what the later stages need."""
+    from grantlake.llm import toxicity
+
+    called = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: called.append(1))
+    docs = spark.createDataFrame([(i, f"you are {'nice' if i % 2 else 'nasty'} {i}") for i in range(12)], "doc_id long, text string")
+    toxicity.train(docs, docs.selectExpr("doc_id", "int(doc_id % 2) as toxic"))
+    assert called == [1]
