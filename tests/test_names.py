@@ -8,6 +8,7 @@ from grantlake.sources.scratch import Rounds
 
 SF = "/root/testdata/sf0.001"
 NAMED = [
+    "schema_from_catalog",
     "accessible_builtin_intersection",
     "accessible_union",
     "accessible_exclusion",
