@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 import pytest
 from grantlake.sources.scratch import Rounds
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 NAMED = [
     "schema_from_catalog",
     "accessible_builtin_intersection",
