@@ -388,7 +388,7 @@ def tool(engine: Engine, kind: str, action: str, id_argument: str | None = None,
                         ref = None
                     edges += [("0", relation, ref.type, ref.id, ref.relation)] if ref else []
                 asked = engine.spark.createDataFrame([("0", actor.type, actor.id, actor.relation, action, kind)], f"id string, {', '.join(f'{c} string' for c in SUBJECT)}, action string, resource_type string")
-                result, target = engine.check_new(asked, engine.spark.createDataFrame(edges, f"id string, relation string, {', '.join(f'{c} string' for c in SUBJECT)}")).first(), kind
+                result, target = engine.check_new(asked, engine.spark.createDataFrame(edges, f"id string, relation string, {', '.join(f'{c} string' for c in SUBJECT)}"), narrow=engine.narrows(1 + len(edges))).first(), kind
             else:
                 value = bound.arguments.get(id_argument) if id_argument else None
                 target = f"{kind}:{value if value is not None else resource_id if resource_id is not None else '*'}"
