@@ -76,3 +76,32 @@ definition a/doc { relation owner: a/user
         assert len(got) == len(set(got)) and set(got) == want
         asked = engine.bulk_check(everyone.selectExpr("*", f"'{action}' as action"), narrow=False).where("allowed")
         assert {tuple(r) for r in asked.select(*SUBJECT, "resource_id").collect()} == want
+
+
+def test_objects_with_equal_sets_are_told_at_once(spark, monkeypatch):
+    """Requested subjects meet each set of names once, not once an object that has it; what is dealt to several rows is told once each."""
+    from grantlake.operators import engine as at
+    from grantlake.operators.engine import SUBJECT, Engine
+    from grantlake.plans.parser import parse_schema
+    from grantlake.sources.store import TupleStore
+
+    schema = parse_schema("""definition a/user {}
+definition a/group { relation member: a/user }
+definition a/doc { relation viewer: a/user | a/group#member
+ relation banned: a/user
+ relation open: a/user:*
+ permission read = (viewer & open) - banned }""")
+    rows = [("a/group", g, "member", "a/user", str(u), "") for g, us in (("g", range(4)), ("h", range(2, 6))) for u in us]
+    rows += [("a/doc", str(i), "viewer", "a/group", g, "member") for i in range(40) for g in ("g", "h") if i % 3 or g == "g"] + [("a/doc", "1", "banned", "a/user", "2", "")] + [("a/doc", str(i), "open", "a/user", "*", "") for i in range(40)]
+    store = TupleStore(spark.createDataFrame([(*r, "", None, None, 1) for r in rows], "resource_type string, resource_id string, relation string, subject_type string, subject_id string, subject_relation string, caveat_name string, caveat_context string, expires_at timestamp_ntz, version long"))
+    names = [f"a/user:{i}" for i in range(7)]
+    want = {("a/user", str(u), "", str(i)) for i in range(40) for u in range(6 if i % 3 else 4) if (i, u) != (1, 2)}
+    frame = (engine := Engine(spark, schema, store)).subjects(names)
+    by = engine.evaluate(frame).by_names("a/doc", "read")
+    assert by.sets.count() == 40 and by.alike(by.sets).count() == 3
+    for most, members in ((at.ALIKE, at.MEMBERS), (4, at.MEMBERS), (4, 0)):
+        monkeypatch.setattr(at, "ALIKE", most)
+        monkeypatch.setattr(at, "MEMBERS", members)
+        got = [tuple(r) for r in engine.accessible(frame, "read", "a/doc").select(*SUBJECT, "resource_id").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert by.alike(by.sets).count() > 3
